@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .piece_codec import encode_digests
+from .shards import shard_by_bytes
 from .shared import documents, scratch
+from .simhash import near_copies
 from .token_files import read_tokens, write_tokens
+from .va_search import top_k
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,9 +21,28 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, write_tokens(documents(spark, sf_dir), WORDS, path, end_id=2))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(documents(spark, sf_dir), 24)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(documents(spark, sf_dir))
+
+
+def op7_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", 5)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op10_piece_codec)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_shards, op5_simhash, op7_va_search, op10_piece_codec)}
+ORACLE_SQL: dict[str, str] = {
+    "op7_va_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+              FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
