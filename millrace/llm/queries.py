@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .piece_codec import encode_digests
+from .repeats import repeat_digests
 from .shards import shard_by_bytes
 from .shared import documents, scratch
 from .simhash import near_copies
@@ -16,6 +17,10 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     return read_tokens(spark, path, write_tokens(documents(spark, sf_dir), WORDS, path, end_id=2))
@@ -37,7 +42,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_shards, op5_simhash, op7_va_search, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op4_shards, op5_simhash, op7_va_search, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {
     "op7_va_search": """
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings),
