@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import media_features, read_archives, write_archives
 from .piece_codec import encode_digests
 from .repeats import repeat_digests
 from .shards import shard_by_bytes
@@ -34,6 +35,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
 
 
+def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "media")
+    write_archives(documents(spark, sf_dir), path)
+    return media_features(read_archives(spark, path))
+
+
 def op7_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", 5)
 
@@ -42,7 +49,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op4_shards, op5_simhash, op7_va_search, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op4_shards, op5_simhash, op6_media_archive, op7_va_search, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {
     "op7_va_search": """
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings),
