@@ -12,6 +12,7 @@ from .shards import shard_by_bytes
 from .shared import documents, scratch
 from .simhash import near_copies
 from .token_files import read_tokens, write_tokens
+from .toxicity import toxicity_scores
 from .va_search import top_k
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, write_tokens(documents(spark, sf_dir), WORDS, path, end_id=2))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 24)
 
@@ -49,7 +54,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op4_shards, op5_simhash, op6_media_archive, op7_va_search, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op3_toxicity, op4_shards, op5_simhash, op6_media_archive, op7_va_search, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {
     "op7_va_search": """
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings),
