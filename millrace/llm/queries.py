@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import media_features, read_archives, write_archives
+from .packing import pack
 from .piece_codec import encode_digests
 from .quality import quality_scores
 from .repeats import repeat_digests
@@ -55,11 +56,15 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), WORDS)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op3_toxicity, op4_shards, op5_simhash, op6_media_archive, op7_va_search, op8_site_quality, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_token_files, op3_toxicity, op4_shards, op5_simhash, op6_media_archive, op7_va_search, op8_site_quality, op9_island_packing, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {
     "op7_va_search": """
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings),
