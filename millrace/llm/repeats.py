@@ -5,13 +5,15 @@ don't cross documents and are judged on the input.  An index of the whole corpus
 strings are dealt out by content.  Every 50-byte string has an anchor, the least hash of its 20-byte substrings; equal
 strings have equal anchors.
 
-1. Groups of documents send the anchors of their strings, 6 bytes each and once a group, to buckets by anchor; a bucket
+1. Whole texts that a smaller doc_id has are found by digest (a partial aggregate over narrow rows): all their strings go, and
+   they bring no string that the first of them doesn't, so they send nothing on.
+2. Groups of documents send the anchors of their strings, 6 bytes each and once a group, to buckets by anchor; a bucket
    tells each group which of its anchors other documents have too.
-2. Runs of strings with such an anchor become segments.  A group sends each distinct segment once, under its smallest
+3. Runs of strings with such an anchor become segments.  A group sends each distinct segment once, under its smallest
    doc_id, to a bucket by anchor; segments of very common anchors are cut into single strings, dealt by their own content.
-3. A bucket builds a run-compressed Burrows-Wheeler transform of its distinct segments with samples at run ends, streams the
-   segments through it, and marks each string that a smaller doc_id has.
-4. Marks return to their documents, whose bytes are cut.
+4. A bucket builds run-compressed Burrows-Wheeler transforms of its distinct segments with samples at run ends, streams the
+   segments through them, and marks each string that a smaller doc_id has.
+5. Marks return to their documents, whose bytes are cut.
 
 Every exchange is of packed arrays, by hash; a group of copies sends each segment once a group, a common anchor is
 split, and no list grows with the whole corpus.  Anchors are told apart by 48 bits, which can only add candidates;
@@ -42,6 +44,8 @@ GRAM = 20
 COMMON = 1000
 #: Strings in a segment at most.
 RUN = 64
+#: Indexes that a bucket is dealt to.
+PARTS = 16
 _LAST = (1 << 63) - 1
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -93,12 +97,28 @@ def _row_keys(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(t, d & 0xFFFFFFFFFFFFFFFF) for t, d in zip(texts, docs.tolist())), np.uint64, len(texts))
 
 
-def _doc_ids(table: pa.Table) -> np.ndarray:
-    return table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+class _Group:
+    """A group's rows: texts, doc ids (null: larger than all), keys, and which are copies of a smaller doc_id."""
 
+    def __init__(self, table: pa.Table):
+        marks = table.column("__copy").to_numpy().astype(bool)
+        ids = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        told = {(d, t) for d, t in zip(ids[marks].tolist(), table.column("text").filter(pa.array(marks)).to_pylist())}
+        self.table = table.filter(pa.array(~marks))
+        self.texts = [t for chunk in self.table.column("text").chunks for t in byte_list(chunk)]
+        self.docs = ids[~marks]
+        copied = {d for d, _ in told}
+        self.copy = np.fromiter((d in copied and (d, hashlib.sha256(t).hexdigest()) in told for d, t in zip(self.docs.tolist(), self.texts)), bool, len(self.texts))
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t for chunk in table.column("text").chunks for t in byte_list(chunk)]
+    def numbers(self) -> np.ndarray:
+        """A number for each row, the same wherever the group is read; equal rows share one."""
+        keys = _row_keys(self.texts, self.docs)
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+    def sources(self) -> tuple[np.ndarray, list[bytes]]:
+        """Rows that aren't copies."""
+        rows = np.flatnonzero(~self.copy)
+        return rows, [self.texts[i] for i in rows.tolist()]
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -118,8 +138,8 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _ANCHORS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
 _SHARED = pa.schema([("g", pa.int64()), ("anchors", pa.binary()), ("common", pa.binary())])
-_SEGMENTS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("of", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("known", pa.binary())])
-_MARKS = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+_SEGMENTS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("part", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("size", pa.int64()), ("of", pa.binary()), ("rows", pa.binary()), ("at", pa.binary()), ("known", pa.binary())])
+_MARKS = pa.schema([("g", pa.int64()), ("marks", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -135,7 +155,9 @@ def _split(values: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def _send_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        texts, docs = _texts(table), _doc_ids(table)
+        group = _Group(table)
+        rows, texts = group.sources()
+        docs = group.docs[rows]
         seen_a, seen_d = [], []
         for a, b in steps(texts):
             start, doc, anchor = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), np.fromiter(map(len, texts[a:b]), np.int64, b - a))
@@ -154,7 +176,7 @@ def _send_anchors(buckets: int):
         other = new | np.concatenate([[True], d[1:] != d[:-1]])
         own, count = x[new], np.minimum(np.add.reduceat(other, np.flatnonzero(new)), 255).astype(np.uint8)
         order, full, at = _split(own, _bucket(own, buckets), buckets)
-        own, count, g = own[order], count[order], table.column("g")[0].as_py()
+        own, count, g = own[order], count[order], table.column("__g")[0].as_py()
         return _batch(_ANCHORS, [(k, g, _six(own[i:j]), count[i:j].tobytes()) for k, i, j in zip(full.tolist(), at, at[1:])])
 
     return run
@@ -170,31 +192,43 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for _, rows in _by_bucket(batches):
         lists = [_of_six(r["anchors"]) for r in rows]
         count = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows]).astype(np.int64)
         u, inverse = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(inverse, count, len(u))[inverse]
-        out, at = [], 0
+        at = 0
         for r, own in zip(rows, lists):
             n = total[at : at + len(own)]
             at += len(own)
             kept = n > 1
             if kept.any():
-                out.append((r["g"], _six(own[kept]), (n[kept] > COMMON).astype(np.uint8).tobytes()))
-        yield from _batch(_SHARED, out).to_batches()
+                told.setdefault(r["g"], []).append((own[kept], (n[kept] > COMMON).astype(np.uint8)))
+    for g, parts in told.items():
+        yield from _batch(_SHARED, [(g, b"".join(_six(x) for x, _ in parts), b"".join(y.tobytes() for _, y in parts))]).to_batches()
 
 
 def _send_segments(buckets: int):
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not table.num_rows or not shared.num_rows:
+        if not table.num_rows:
             return _batch(_SEGMENTS, [])
+        group, g = _Group(table), table.column("__g")[0].as_py()
+        number = group.numbers()
+        copies = np.flatnonzero(group.copy)
+        known = [np.stack([number[copies], np.zeros(len(copies), np.int64), np.fromiter((len(group.texts[i]) for i in copies), np.int64, len(copies))])[:, [len(group.texts[i]) >= LENGTH for i in copies]]] if len(copies) else []
+
+        def rest() -> list[tuple]:
+            return [(g % buckets, g, b"", b"", b"", b"", 0, b"", b"", b"", _packed(np.concatenate(known, 1)))] if known else []
+
+        if not shared.num_rows:
+            return _batch(_SEGMENTS, rest())
         told = _of_six(b"".join(shared.column("anchors").to_pylist()))
         common = np.frombuffer(b"".join(shared.column("common").to_pylist()), np.uint8)
         order = np.argsort(told)
         told, common = told[order], common[order].astype(bool)
-        texts, docs = _texts(table), _doc_ids(table)
-        row_keys = _row_keys(texts, docs)
+        rows, texts = group.sources()
+        docs, number = group.docs[rows], number[rows]
         parts: list[tuple] = []
         for a, b in steps(texts):
             data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
@@ -220,10 +254,10 @@ def _send_segments(buckets: int):
             new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
             kept = by[new]
             body = ragged(data, s[kept], n[kept])
-            parts.append((h1, h2, where, docs[row], row_keys[row], s - (np.cumsum(lens) - lens)[doc[at]], n, kept, body))
+            parts.append((h1, h2, where, docs[row], number[row], s - (np.cumsum(lens) - lens)[doc[at]], n, kept, body))
         if not parts:
-            return _batch(_SEGMENTS, [])
-        h1, h2, where, own, keys, pos, n = (np.concatenate(x) for x in list(zip(*parts))[:7])
+            return _batch(_SEGMENTS, rest())
+        h1, h2, where, own, number, pos, n = (np.concatenate(x) for x in list(zip(*parts))[:7])
         offset = np.cumsum([0, *(len(p[0]) for p in parts)])
         body = np.concatenate([p[8] for p in parts])
         body_at = np.full(len(h1), -1, np.int64)
@@ -237,14 +271,16 @@ def _send_segments(buckets: int):
         least = np.full(len(head), _LAST, np.int64)
         np.minimum.at(least, segment, own)
         mine = own == least[segment]
-        g = table.column("g")[0].as_py()
-        out = []
         later = ~mine  # the same segment is in a smaller document of this group
         if later.any():
-            known = np.stack([keys[later].view(np.int64), pos[later], pos[later] + n[later]])
-            out.append((g % buckets, g, b"", b"", b"", b"", b"", b"", known.tobytes()))
-        bucket = _bucket(where[head], buckets)
-        order, full, at = _split(head, bucket, buckets)
+            known.append(np.stack([number[later], pos[later], pos[later] + n[later]]))
+        out = rest()
+        mixed = _mix(where[head] + np.uint64(0x2545F491))
+        bucket, part = (mixed % np.uint64(buckets)).astype(np.int64), (mixed // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+        order, full, at = _split(head, bucket * PARTS + part, buckets * PARTS)
+        bucket_of = bucket[order]
+        full, at = np.unique(bucket_of, return_index=True)
+        at = np.append(at, len(order))
         seen = np.flatnonzero(mine)
         rank = np.empty(len(head), np.int64)
         rank[order] = np.arange(len(head))
@@ -254,60 +290,90 @@ def _send_segments(buckets: int):
             some = order[i:j]
             x, y = np.searchsorted(seen_rank, (i, j))
             occ = seen[x:y]
-            out.append((k, g, least[some].tobytes(), n[head[some]].astype(np.uint16).tobytes(), ragged(body, body_at[head[some]], n[head[some]]).tobytes(), (seen_rank[x:y] - i).astype(np.int32).tobytes(), keys[occ].tobytes(), pos[occ].tobytes(), b""))
+            text = ragged(body, body_at[head[some]], n[head[some]]).tobytes()
+            out.append((k, g, part[some].astype(np.uint8).tobytes(), least[some].tobytes(), n[head[some]].astype(np.uint8).tobytes(), pa.compress(text, "zstd", asbytes=True), len(text), np.diff(seen_rank[x:y], prepend=i).astype(np.uint8).tobytes(), number[occ].astype(np.uint32).tobytes(), pos[occ].astype(np.uint32).tobytes(), b""))
         return _batch(_SEGMENTS, out)
 
     return run
 
 
+def _packed(marks: np.ndarray) -> bytes:
+    """Rows, starts and ends of marks as 32-bit numbers."""
+    return marks.astype(np.uint32).tobytes()
+
+
+def _unpacked(marks: bytes) -> np.ndarray:
+    return np.frombuffer(marks, np.uint32).reshape(3, -1).astype(np.int64)
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, list[np.ndarray]] = {}
     for _, rows in _by_bucket(batches):
-        out = []
         for r in rows:
             if r["known"]:
-                k, a, b = np.frombuffer(r["known"], np.int64).reshape(3, -1)
-                out.append((r["g"], k.tobytes(), a.tobytes(), b.tobytes()))
+                found.setdefault(r["g"], []).append(_unpacked(r["known"]))
         rows = [r for r in rows if r["docs"]]
-        if rows:
-            docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-            lens = np.concatenate([np.frombuffer(r["lens"], np.uint16) for r in rows]).astype(np.int64)
-            data = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
-            starts = np.cumsum(lens) - lens
-            h1, h2 = span_hashes(data, starts, starts + lens)
-            by = np.lexsort((docs, h2, h1))
-            new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
-            distinct = np.empty(len(by), np.int64)
-            distinct[by] = np.cumsum(new) - 1
-            head = by[new]
-            order = np.argsort(docs[head], kind="stable")
-            index = RunLengthIndex(ragged(data, starts[head[order]], lens[head[order]]), lens[head[order]], docs[head[order]], LENGTH)
-            text, start, owner = index.first_owners()
-            text = order[text]  # number of the distinct segment
-            gone = owner < docs[head[text]]
-            text, start = text[gone], start[gone]
-            by = np.lexsort((start, text))
-            text, start = text[by], start[by]
-            new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
-            run_text, run_start = text[new], start[new]
-            run_end = start[np.append(new[1:], len(start)) - 1] + LENGTH if len(new) else run_start
-            run_from = np.searchsorted(run_text, np.arange(len(head) + 1))
-            base = 0
-            for r in rows:
-                m = len(r["docs"]) // 8
-                of = np.frombuffer(r["of"], np.int32) + base
-                keys, at = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["at"], np.int64)
-                d = distinct[of]
-                whole = docs[of] > docs[head[d]]
-                k, a, b = [keys[whole]], [at[whole]], [at[whole] + lens[of[whole]]]
-                keys, at, d = keys[~whole], at[~whole], d[~whole]
-                runs = run_from[d + 1] - run_from[d]
-                each = ragged(np.arange(len(run_text)), run_from[d], runs)
-                k.append(np.repeat(keys, runs)), a.append(np.repeat(at, runs) + run_start[each]), b.append(np.repeat(at, runs) + run_end[each])
-                k, a, b = (np.concatenate(x) for x in (k, a, b))
-                if len(k):
-                    out.append((r["g"], k.tobytes(), a.tobytes(), b.tobytes()))
-                base += m
-        yield from _batch(_MARKS, out).to_batches()
+        if not rows:
+            continue
+        docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
+        lens = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
+        part = np.concatenate([np.frombuffer(r["part"], np.uint8) for r in rows])
+        data = np.frombuffer(b"".join(pa.decompress(r["text"], r["size"], "zstd", asbytes=True) for r in rows), np.uint8)
+        base = np.cumsum([0, *(len(r["docs"]) // 8 for r in rows)])
+        of = np.concatenate([np.cumsum(np.frombuffer(r["of"], np.uint8), dtype=np.int64) + b for r, b in zip(rows, base)])
+        number, at = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("rows", "at"))
+        sender = np.repeat(np.array([r["g"] for r in rows]), [len(r["rows"]) // 4 for r in rows])
+        starts = np.cumsum(lens) - lens
+        for k in range(PARTS):
+            own = part == k
+            if not own.any():
+                continue
+            number_of = np.cumsum(own) - 1
+            occ = own[of]
+            spots = np.stack([number[occ], at[occ]])
+            marks, whose = _marks_of(ragged(data, starts[own], lens[own]), lens[own], docs[own], number_of[of[occ]], spots)
+            g = sender[occ][whose]
+            order = np.argsort(g, kind="stable")
+            full, cut = np.unique(g[order], return_index=True)
+            for x, i, j in zip(full.tolist(), cut, np.append(cut[1:], len(order))):
+                found.setdefault(x, []).append(marks[:, order[i:j]])
+    for g, marks in found.items():
+        yield from _batch(_MARKS, [(g, _packed(np.concatenate(marks, 1)))]).to_batches()
+
+
+def _marks_of(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, of: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (row, start, end) of segments' occurrences, and the occurrence that each is of.
+
+    ``data``, ``lens``, ``docs``: segments and the smallest document that each sender has them in; ``of``: the segment of each
+    occurrence in that document; ``spots``: its row and start.
+    """
+    starts = np.cumsum(lens) - lens
+    h1, h2 = span_hashes(data, starts, starts + lens)
+    by = np.lexsort((docs, h2, h1))
+    new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
+    distinct = np.empty(len(by), np.int64)
+    distinct[by] = np.cumsum(new) - 1
+    head = by[new]
+    order = np.argsort(docs[head], kind="stable")
+    index = RunLengthIndex(ragged(data, starts[head[order]], lens[head[order]]), lens[head[order]], docs[head[order]], LENGTH)
+    text, start, owner = index.first_owners()
+    text = order[text]  # number of the distinct segment
+    gone = owner < docs[head[text]]
+    text, start = text[gone], start[gone]
+    by = np.lexsort((start, text))
+    text, start = text[by], start[by]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
+    run_text, run_start = text[new], start[new]
+    run_end = start[np.append(new[1:], len(start)) - 1] + LENGTH if len(new) else run_start
+    run_from = np.searchsorted(run_text, np.arange(len(head) + 1))
+    d = distinct[of]
+    whole = docs[of] > docs[head[d]]  # another sender has the segment in a smaller document
+    every, some = np.flatnonzero(whole), np.flatnonzero(~whole)
+    runs = run_from[d[some] + 1] - run_from[d[some]]
+    each = ragged(np.arange(len(run_text)), run_from[d[some]], runs)
+    some = np.repeat(some, runs)
+    marks = np.concatenate([np.stack([spots[0, every], spots[1, every], spots[1, every] + lens[of[every]]]), np.stack([spots[0, some], spots[1, some] + run_start[each], spots[1, some] + run_end[each]])], 1)
+    return marks, np.concatenate([every, some])
 
 
 def removed_bytes(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -318,17 +384,17 @@ def removed_bytes(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _cut(each, names: list[str]):
-    """``each``: table, row number, text, mask of removed bytes -> values of the added columns."""
-
-    def run(table: pa.Table, marks: pa.Table) -> pa.Table:
-        texts = _texts(table)
-        keys, starts, ends = (np.frombuffer(b"".join(marks.column(c).to_pylist()), np.int64) for c in ("keys", "starts", "ends"))
-        order = np.argsort(keys, kind="stable")
-        keys, starts, ends = keys[order], starts[order], ends[order]
-        own = _row_keys(texts, _doc_ids(table)).view(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        rows = [each(t, removed_bytes(len(t), starts[i:j], ends[i:j]) if i < j else None) for t, i, j in zip(texts, lo.tolist(), hi.tolist())]
-        return table.drop_columns(["g"]), {n: [r[k] for r in rows] for k, n in enumerate(names)}
+    """``each``: text and mask of removed bytes (None: nothing) -> values of the added columns."""
+
+    def run(table: pa.Table, marks: pa.Table) -> tuple[pa.Table, dict[str, list]]:
+        group = _Group(table)
+        row, starts, ends = np.concatenate([np.zeros((3, 0), np.int64), *(_unpacked(m) for m in marks.column("marks").to_pylist())], 1)
+        order = np.argsort(row, kind="stable")
+        row, starts, ends = row[order], starts[order], ends[order]
+        own = group.numbers()
+        lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
+        rows = [each(t, removed_bytes(len(t), starts[i:j], ends[i:j]) if i < j else None) for t, i, j in zip(group.texts, lo.tolist(), hi.tolist())]
+        return group.table.drop_columns(["__g", "__copy"]), {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
     return run
 
@@ -336,14 +402,19 @@ def _cut(each, names: list[str]):
 def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     """Group the documents, find the marks, and hand both to ``finish``."""
     n = partitions(docs.sparkSession)
-    groups, buckets = 4 * n, 16 * n
-    grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(n, "g")
-    narrow = grouped.select("g", "doc_id", "text")
-    sent = narrow.groupBy("g").applyInArrow(_send_anchors(buckets), _ddl(_ANCHORS))
+    order = F.coalesce("doc_id", F.lit(_LAST))
+    narrow = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = narrow.join(first, "digest").where(order > F.col("first")).select("doc_id", F.col("digest").alias("text"), F.lit(1).alias("__copy"))
+    both = docs.withColumn("__copy", F.lit(0)).unionByName(copies, allowMissingColumns=True)
+    digest = F.when(F.col("__copy") == 1, F.col("text")).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256))
+    spread = F.xxhash64(order, F.when(F.col("doc_id").isNull(), digest))  # rows without an id aren't one group
+    grouped = both.withColumn("__g", F.pmod(spread, F.lit(2 * n))).repartition(n, "__g")
+    sent = grouped.groupBy("__g").applyInArrow(_send_anchors(n), _ddl(_ANCHORS))
     shared = sent.repartition(n, "bucket").mapInArrow(_share, _ddl(_SHARED))
-    segments = narrow.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(buckets), _ddl(_SEGMENTS))
+    segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(n), _ddl(_SEGMENTS))
     marks = segments.repartition(n, "bucket").mapInArrow(_mark, _ddl(_MARKS))
-    return grouped.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(finish, schema)
+    return grouped.groupBy("__g").cogroup(marks.groupBy("g")).applyInArrow(finish, schema)
 
 
 def _typed(docs: DataFrame) -> DataFrame:
