@@ -3,8 +3,8 @@
 A document is its ids and an end id; only documents longer than a sequence are cut, into full pieces and a rest.  Full
 pieces are sequences of their own.  The rest is a bin-packing problem, dealt by hash into problems of bounded size.
 Each problem is solved by several islands, tasks of their own: a population of packings, grouped by bins; crossover puts
-well-filled bins of one parent into a copy of the other, takes out bins that hold the same pieces twice, and best-fits
-displaced pieces.  Between epochs every island's best packing migrates to the next island of its problem.  Then the
+well-filled bins of one parent into a copy of the other, takes out bins that hold the same pieces twice, swaps displaced
+pieces into bins that they fill better, and best-fits the rest.  Between epochs every island's best packing migrates to the next island of its problem.  Then the
 best island of each problem wins, its bins below ``full`` are opened, and their pieces are dealt and packed again.
 
 Only narrow piece rows are shuffled, never texts; a problem's size doesn't grow with the corpus.  Null and empty texts are the end
@@ -79,6 +79,34 @@ class Packing:
                 bisect.insort(room, (left, k))
         return self
 
+    def exchange(self, loose: list[int]) -> list[int]:
+        """Swap an item of a bin with room for one or two loose ones that fill it better; returns what is loose then."""
+        free = sorted((self.sizes[i], i) for i in loose)
+        for k, b in enumerate(self.bins):
+            room = self.capacity - self.fill[k]
+            if not room or not free:
+                continue
+            best: tuple[int, int, tuple] = (0, -1, ())
+            for at, i in enumerate(b):
+                least, most = self.sizes[i], self.sizes[i] + room
+                one = bisect.bisect_right(free, (most, len(self.sizes))) - 1
+                if one >= 0 and free[one][0] - least > best[0]:
+                    best = (free[one][0] - least, at, (one,))
+                for x in range(max(0, one - 63), one + 1):  # pairs with one of the largest that fit
+                    y = min(bisect.bisect_right(free, (most - free[x][0], len(self.sizes))) - 1, x - 1)
+                    if y >= 0 and free[x][0] + free[y][0] - least > best[0]:
+                        best = (free[x][0] + free[y][0] - least, at, (x, y))
+                if best[0] == room:
+                    break
+            if best[2]:
+                out = b.pop(best[1])
+                b += [free[x][1] for x in best[2]]
+                for x in best[2]:
+                    free.pop(x)
+                bisect.insort(free, (self.sizes[out], out))
+                self.fill[k] += best[0]
+        return [i for _, i in reversed(free)]
+
     @property
     def merit(self) -> tuple[int, float]:
         """Fewer bins, then fuller full bins."""
@@ -96,16 +124,16 @@ class Packing:
                 kept.append(list(b))
             else:
                 displaced += [i for i in b if i not in taken]
-        displaced.sort(key=lambda i: -self.sizes[i])
-        return Packing(self.sizes, self.capacity, [list(b) for b in injected] + kept).best_fit(displaced)
+        child = Packing(self.sizes, self.capacity, [list(b) for b in injected] + kept)
+        return child.best_fit(child.exchange(displaced))
 
     def mutated(self, rng: random.Random) -> Packing:
         """Open the emptiest bins and a few others, and best-fit their items."""
         ranked = sorted(range(len(self.bins)), key=self.fill.__getitem__)
         opened = {*ranked[: 1 + len(ranked) // 50], *rng.sample(ranked, min(len(ranked), 1 + len(ranked) // 20))}
         loose = [i for k in opened for i in self.bins[k]]
-        loose.sort(key=lambda i: -self.sizes[i] * rng.uniform(0.9, 1.1))
-        return Packing(self.sizes, self.capacity, [list(b) for k, b in enumerate(self.bins) if k not in opened]).best_fit(loose)
+        child = Packing(self.sizes, self.capacity, [list(b) for k, b in enumerate(self.bins) if k not in opened])
+        return child.best_fit(child.exchange(loose))
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int, population: int = 4) -> Packing:
