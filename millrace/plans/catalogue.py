@@ -16,6 +16,7 @@ from ..operators import datasets as ds
 from ..operators import diagnostics as dg
 from ..operators import features as ft
 from ..operators import metrics as mt
+from ..operators import ml
 from ..operators import sampling as sm
 from ..operators import sessions as se
 from ..operators import states as st
@@ -25,6 +26,7 @@ from ..operators import validate as va
 KEYS = ["experiment_id", "station_id"]
 SESSION = [*KEYS, "session_id"]
 Q, RATIO = 0.95, 1.2
+WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -613,3 +615,33 @@ def contingency_ari(spark, sf_dir):
 @query(SESSIONS + "SELECT CAST(count(*) AS BIGINT) AS fused_rows, count(*) FILTER (join_matched) AS matched, round(avg(age), 6) AS age_mean, round(median(age), 6) AS age_median, count(DISTINCT session_id) AS sessions FROM fu")
 def run_summary(spark, sf_dir):
     return fused(spark, sf_dir).agg(F.count("*").alias("fused_rows"), F.count_if("join_matched").alias("matched"), F.round(F.avg("state_age_seconds"), 6).alias("age_mean"), F.round(F.median("state_age_seconds"), 6).alias("age_median"), F.count_distinct("session_id").alias("sessions"))
+
+
+# ---- learners: no SQL form; tests hold them against numpy
+
+
+def _vectors(spark, sf_dir, dims: int):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.element_at("embedding", k + 1).cast("double").alias(f"x{k}") for k in range(dims)])
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return ml.clusters(_vectors(spark, sf_dir, 8), [f"x{k}" for k in range(8)], 4, 20260915).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def quantum_gram(spark, sf_dir):
+    """Kernel of a sample of 60 rows, spread evenly over the labels."""
+    v, names = _vectors(spark, sf_dir, 6), [f"x{k}" for k in range(6)]
+    return ml.fidelity_gram(ml.scaled(v, sm.quota_sample(v, "label", ["vec_id"], 60), names), "vec_id")
+
+
+@query()
+def idle_regression(spark, sf_dir):
+    """Errors of a random forest on idle durations, by split (the weeks in order)."""
+    rows = idle_rows(spark, sf_dir).withColumn("label", F.col("target_log1p"))
+    names = ["value_3600s_mean", "value_86400s_mean", "n_samples_3600s", "cycles_before", "hour_of_day"]
+    rows = sm.split_by(rows, "experiment_id", {w: s for w, s in zip(WEEKS, ("train", "train", "train", "validation", "test"))}, "drop").na.drop(subset=[*names, "label"])
+    x = ml.assembled(rows.select(*SESSION, "split", "label", *names), names).persist()  # a learner reads it many times
+    model = ml.regressors(20260915, trees=20)["random_forest"].fit(x.where("split = 'train'"))
+    return mt.regression_metrics(model.transform(x), ["split"], F.col("label"), F.col("prediction"))
