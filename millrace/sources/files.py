@@ -121,7 +121,7 @@ def png_size(content: Column) -> dict[str, Column]:
     return {"width": number(17), "height": number(21)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_encoding(content: pd.Series) -> pd.Series:
     """ascii, utf-8-sig or cp1252, whichever reads the first MiB first; else unknown."""
 
