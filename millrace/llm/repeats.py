@@ -44,6 +44,8 @@ GRAM = 20
 COMMON = 1000
 #: Strings in a segment at most.
 RUN = 64
+#: Tasks that the rows of one whole text may be spread over when its copies are looked up.
+SALTS = 64
 #: Indexes that a bucket is dealt to.
 PARTS = 16
 _LAST = (1 << 63) - 1
@@ -405,7 +407,9 @@ def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(_LAST))
     narrow = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = narrow.join(first, "digest").where(order > F.col("first")).select("doc_id", F.col("digest").alias("text"), F.lit(1).alias("__copy"))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    copies = salted.join(first, ["digest", "salt"]).where(order > F.col("first")).select("doc_id", F.col("digest").alias("text"), F.lit(1).alias("__copy"))
     both = docs.withColumn("__copy", F.lit(0)).unionByName(copies, allowMissingColumns=True)
     digest = F.when(F.col("__copy") == 1, F.col("text")).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256))
     spread = F.xxhash64(order, F.when(F.col("doc_id").isNull(), digest))  # rows without an id aren't one group
