@@ -22,6 +22,7 @@ from ..operators import sessions as se
 from ..operators import states as st
 from ..operators import temporal as tp
 from ..operators import validate as va
+from ..sources import dumps, sinks
 
 KEYS = ["experiment_id", "station_id"]
 SESSION = [*KEYS, "session_id"]
@@ -645,3 +646,26 @@ def idle_regression(spark, sf_dir):
     x = ml.assembled(rows.select(*SESSION, "split", "label", *names), names).persist()  # a learner reads it many times
     model = ml.regressors(20260915, trees=20)["random_forest"].fit(x.where("split = 'train'"))
     return mt.regression_metrics(model.transform(x), ["split"], F.col("label"), F.col("prediction"))
+
+
+# ---- dumps
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def pgcopy_scan(spark, sf_dir):
+    """Customers written as COPY blocks and read back through the dump source."""
+    c = table(spark, sf_dir, "customer")
+    path = sinks.scratch(spark, "dump")
+    dumps.write_dump(c, path, "customer")
+    rows = dumps.read_dumps(spark, path, ".txt")
+    return rows.select(*[F.element_at("values", k + 1).cast(t).alias(n) for k, (n, t) in enumerate(c.dtypes)])
+
+
+@query(SESSIONS + "SELECT experiment_id, station_id, count(*) AS power_rows, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM pp WHERE session_id IS NULL GROUP BY ALL")
+def power_outside_sessions(spark, sf_dir):
+    return power_sessions(spark, sf_dir).where("session_id is null").groupBy(*KEYS).agg(F.count("*").alias("power_rows"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+@query(SESSIONS + "SELECT session_id, count(*) AS n FROM fu WHERE join_matched GROUP BY ALL ORDER BY n DESC, session_id LIMIT 5")
+def top_sessions(spark, sf_dir):
+    return fused(spark, sf_dir).where("join_matched").groupBy("session_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "session_id").limit(5)

@@ -90,7 +90,7 @@ def common(spark: SparkSession, raw: str, out: str, settings: Settings = Setting
     fused = _kept(spark, fused, out, "power_operation_fused", check)
     reports = {
         "thresholds": threshold, "silences": silences, "boundary_counts": counts, "join_coverage": dg.join_coverage(fused, SESSION), "usage": dg.usage_summary(dg.operation_usage(plc, fused, "canonical_row_id", "operation_row_id"), KEYS),
-        "sampling": dg.sampling_report(sessions, SESSION), "presence": dg.presence(power, operation, KEYS), "highest_age": dg.highest_age(fused, 100, "canonical_row_id"), "old_matches": fused.where(F.col("state_age_seconds") > settings.age_review_seconds).groupBy(*SESSION).agg(F.count("*").alias("n")),
+        "sampling": dg.sampling_report(sessions, SESSION), "presence": dg.presence(power, operation, KEYS), "power_outside": sessions.where("session_id is null").groupBy(*KEYS).agg(F.count("*").alias("n")), "highest_age": dg.highest_age(fused, 100, "canonical_row_id"), "old_matches": fused.where(F.col("state_age_seconds") > settings.age_review_seconds).groupBy(*SESSION).agg(F.count("*").alias("n")),
         "snapshot_overlap": cn.snapshot_overlap(parsed.withColumns({"canonical_row_id": F.col("digest"), "ts_ms": F.element_at("values", F.array_position("columns", F.lit("timeStamp")).cast("int")).cast("long")}), ["experiment_id", "table_name"]),
         "dump_profile": dg.raw_profile(parsed.withColumns({"resource": F.element_at("values", 1), "ts": F.element_at("values", 2).cast("long")}), ["source_file", "table_name"], "resource", "ts", "line_no", "digest"), "selection": selection,
     }

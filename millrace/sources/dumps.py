@@ -68,12 +68,12 @@ class CopyDump(DataSource):
         return "source_file string, line_no long, schema_name string, table_name string, columns array<string>, values array<string>, digest string"
 
     def reader(self, schema) -> DataSourceReader:
-        return CopyReader(self.options["path"])
+        return CopyReader(self.options["path"], self.options.get("suffix", ".sql"))
 
 
 class CopyReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, suffix: str = ".sql"):
+        self.path, self.suffix = path, suffix
 
     def _fs(self) -> tuple[pafs.FileSystem, str]:
         if self.path.startswith("file:"):
@@ -86,7 +86,7 @@ class CopyReader(DataSourceReader):
         if info.is_file:
             return [CopyFile(root, info.base_name)]
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        return [CopyFile(f.path, f.path[len(root.rstrip("/")) + 1 :]) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".sql")]
+        return [CopyFile(f.path, f.path[len(root.rstrip("/")) + 1 :]) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(self.suffix) and not f.base_name.startswith((".", "_"))]
 
     def read(self, partition: CopyFile) -> Iterator[pa.RecordBatch]:
         fs, _ = self._fs()
@@ -132,9 +132,28 @@ def _lines(stream, size: int = 1 << 20) -> Iterator[str]:
         yield left.rstrip(b"\r").decode("utf-8", "surrogateescape")
 
 
-def read_dumps(spark: SparkSession, path: str) -> DataFrame:
+def read_dumps(spark: SparkSession, path: str, suffix: str = ".sql") -> DataFrame:
     spark.dataSource.register(CopyDump)
-    return spark.read.format("pgcopy").load(path)
+    return spark.read.format("pgcopy").option("suffix", suffix).load(path)
+
+
+def _escaped(c: Column) -> Column:
+    c = c.cast("string")
+    for raw, text in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(text))
+    return F.coalesce(c, F.lit("\\N"))
+
+
+def write_dump(df: DataFrame, path: str, table: str, schema: str = "public") -> None:
+    """COPY blocks below ``path``, a file for each partition, each with its header and end."""
+    names = ", ".join(f'"{c}"' for c in df.columns)
+    head = f'COPY {schema}."{table}" ({names}) FROM stdin;'
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = df.select(F.concat_ws("\t", *[_escaped(F.col(f"`{c}`")) for c in df.columns]).alias("value"), F.lit(1).alias("k"))
+    body = body.withColumn("p", F.pmod(F.xxhash64("value"), F.lit(n)))
+    ends = spark.range(n).select(F.col("id").alias("p"), F.explode(F.array(F.struct(F.lit(head).alias("value"), F.lit(0).alias("k")), F.struct(F.lit("\\.").alias("value"), F.lit(2).alias("k")))).alias("r")).select("r.value", "r.k", "p")
+    body.unionByName(ends).repartition(n, "p").sortWithinPartitions("p", "k").select("value").write.text(path)
 
 
 def table_rows(rows: DataFrame, table: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,20 @@ from pyspark.sql import functions as F
 
 from .dumps import TABLES
 
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; local sessions may leave it unset)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="millrace-")
+        _OWN[spark.sparkContext.applicationId] = folder
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 MODES = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
 
 
