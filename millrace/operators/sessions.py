@@ -24,12 +24,13 @@ def thresholds(gap_rows: DataFrame, keys: list[str] = KEYS, q: float = 0.95, min
     The threshold is the geometric mean of the gaps below and above the jump, if their ratio reaches ``min_ratio``; the
     first of equal jumps counts; keys with fewer than two gaps or tail gaps have none.
     """
-    floor = gap_rows.groupBy(*keys).agg(F.count("*").alias("gap_count"), F.percentile("gap", F.lit(q)).alias("tail_floor"))
-    tail = gap_rows.join(floor, keys).where("gap_count >= 2 and gap >= tail_floor").select(*keys, "gap").distinct()
-    order = Window.partitionBy(*keys).orderBy("gap")
-    jumps = tail.withColumn("below", F.lag("gap").over(order)).where("below is not null").withColumn("ratio", F.col("gap") / F.col("below"))
-    best = jumps.groupBy(*keys).agg(F.max_by(F.struct("below", "gap", "ratio"), F.struct("ratio", -F.col("gap"))).alias("j"))
-    found = floor.join(best, keys, "left")
+    group = Window.partitionBy(*keys)  # the partitioning that the gaps already have: no further shuffle
+    below, gap = F.lag("gap").over(group.orderBy("gap")), F.col("gap")
+    seen = gap_rows.withColumns({"gap_count": F.count("*").over(group), "tail_floor": F.percentile("gap", F.lit(q)).over(group), "below": below})
+    jump = F.when((F.col("gap_count") >= 2) & (F.col("below") >= F.col("tail_floor")) & (F.col("below") < gap), F.struct(F.col("below"), gap.alias("gap"), (gap / F.col("below")).alias("ratio")))
+    seen = seen.withColumn("j", jump)
+    best = F.max_by("j", F.when(F.col("j").isNotNull(), F.struct(F.col("j.ratio"), -gap)))
+    found = seen.groupBy(*keys).agg(F.first("gap_count").alias("gap_count"), F.first("tail_floor").alias("tail_floor"), best.alias("j"))
     ratio = F.col("j.ratio")
     return found.select(
         *keys, "gap_count", "tail_floor", F.col("j.below").alias("gap_below"), F.col("j.gap").alias("gap_above"), ratio.alias("jump_ratio"),
@@ -93,6 +94,16 @@ def assign_sessions(rows: DataFrame, boundaries: DataFrame, keys: list[str] = KE
     return numbered.withColumns({"session_no": number, "session_id": session_label(F.col(keys[0]), F.col(keys[1]), number)}).drop("__n")
 
 
+def assign_by_threshold(rows: DataFrame, threshold: DataFrame, keys: list[str] = KEYS, ts: str = "ts_ms") -> DataFrame:
+    """As :func:`assign_sessions` where the only boundaries are gaps above each key's threshold: one window over the rows."""
+    order = Window.partitionBy(*keys).orderBy(ts)
+    known = rows.where(" and ".join(f"{k} is not null" for k in keys)).join(threshold.select(*keys, "threshold_ms"), keys, "left")
+    opened = known.withColumn("__o", F.coalesce((F.col(ts) - F.lag(ts).over(order) > F.col("threshold_ms")).cast("long"), F.lit(0)))
+    number = F.sum("__o").over(order.rangeBetween(Window.unboundedPreceding, 0)) + 1  # rows of one time are in one session
+    numbered = opened.withColumn("session_no", number.cast("long")).drop("__o", "threshold_ms")
+    return numbered.withColumn("session_id", session_label(F.col(keys[0]), F.col(keys[1]), F.col("session_no")))
+
+
 def intervals(rows: DataFrame, keys: list[str] = KEYS, ts: str = "ts_ms") -> DataFrame:
     return (
         rows.groupBy(*keys, "session_id")

@@ -106,7 +106,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plc_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.assign_sessions(plc(spark, sf_dir), boundaries(spark, sf_dir))
+    return se.assign_by_threshold(plc(spark, sf_dir), se.thresholds(plc_gaps(spark, sf_dir), q=Q, min_ratio=RATIO))
 
 
 def power_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +254,11 @@ def boundary_union_counts(spark, sf_dir):
     return se.boundary_union(boundaries(spark, sf_dir), _silences(spark, sf_dir)[1])[1]
 
 
+@query(SESSIONS + "SELECT event_id, session_no, session_id FROM sp")
+def session_assign_by_boundaries(spark, sf_dir):
+    return se.assign_sessions(plc(spark, sf_dir), boundaries(spark, sf_dir)).select("event_id", "session_no", "session_id")
+
+
 # ---- states, segments, windows
 
 
