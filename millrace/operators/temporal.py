@@ -18,6 +18,11 @@ def _known(keys: list[str]) -> Column:
     return out
 
 
+def _salt(rows: DataFrame, ok: Column, ts: str) -> Column:
+    """0 for rows that can match; the others, which meet nothing, are spread by hash instead of standing in one task."""
+    return F.when(F.coalesce(ok, F.lit(False)), F.lit(0)).otherwise(F.pmod(F.xxhash64(ts, rows.columns[0]), F.lit(4096)).cast("int") + 1)
+
+
 def asof_backward(
     left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: dict[str, str], bucket_ms: int | None = None, right_ts_as: str = "matched_ts_ms"
 ) -> DataFrame:
@@ -33,10 +38,11 @@ def asof_backward(
     ones = ones.withColumn("__m", F.struct(F.col("__t").alias("t"), F.col("__n").alias("n"), F.col("__r").alias("r")))
     payload = F.struct(*[F.col(c) for c in left.columns])
     ok = _known(keys) & F.col(left_ts).isNotNull()
-    asked = left.where(ok).select(*keys, F.col(left_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
-    by = list(keys)
+    asked = left.select(*keys, _salt(left, ok, left_ts).alias("__s"), F.col(left_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
+    ones = ones.withColumn("__s", F.lit(0))
+    by = [*keys, "__s"]
     if bucket_ms:
-        by = [*keys, "__b"]
+        by.append("__b")
         bucket = F.floor(F.col("__t") / bucket_ms).cast("long")
         ones, asked = ones.withColumn("__b", bucket), asked.withColumn("__b", bucket)
     told = ones.select(*by, "__t", F.lit(0).alias("__side"), "__m")
@@ -45,11 +51,10 @@ def asof_backward(
     found = both.withColumn("__m", F.last("__m", ignorenulls=True).over(order)).where("__side = 1")
     if bucket_ms:
         newest = ones.groupBy(*by).agg(F.max_by("__m", "__t").alias("__new"))
-        buckets = newest.unionByName(asked.select(*by).distinct(), allowMissingColumns=True).groupBy(*by).agg(F.first("__new", ignorenulls=True).alias("__new"))
+        buckets = newest.unionByName(asked.where("__s = 0").select(*by).distinct(), allowMissingColumns=True).groupBy(*by).agg(F.first("__new", ignorenulls=True).alias("__new"))
         earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         carried = buckets.withColumn("__old", F.last("__new", ignorenulls=True).over(earlier)).select(*by, "__old")
-        found = found.join(carried, by).withColumn("__m", F.coalesce("__m", "__old"))
-    found = found.select("__l", "__m").unionByName(left.where(~ok | ok.isNull()).select(payload.alias("__l")), allowMissingColumns=True)
+        found = found.join(carried, by, "left").withColumn("__m", F.coalesce("__m", "__old"))
     matched = F.coalesce(F.col("__m.n") == 1, F.lit(False))
     return found.select(
         "__l.*",
@@ -64,12 +69,11 @@ def asof_backward(
 def latest_row(triggers: DataFrame, rows: DataFrame, keys: list[str], trigger_ts: str, row_ts: str, columns: dict[str, str], tiebreak: str) -> DataFrame:
     """Each trigger with the values, nulls included, of the last row at or before it; equal times go by ``tiebreak``."""
     payload = F.struct(*[F.col(c) for c in triggers.columns])
-    told = rows.where(_known(keys)).select(*keys, F.col(row_ts).cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"), F.struct(*[F.col(c).alias(n) for c, n in columns.items()]).alias("__r"))
-    asked = triggers.where(_known(keys)).select(*keys, F.col(trigger_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
-    order = Window.partitionBy(*keys).orderBy("__t", "__side", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.where(_known(keys)).select(*keys, F.lit(0).alias("__s"), F.col(row_ts).cast("long").alias("__t"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"), F.struct(*[F.col(c).alias(n) for c, n in columns.items()]).alias("__r"))
+    asked = triggers.select(*keys, _salt(triggers, _known(keys), trigger_ts).alias("__s"), F.col(trigger_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
+    order = Window.partitionBy(*keys, "__s").orderBy("__t", "__side", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = told.unionByName(asked, allowMissingColumns=True).withColumn("__r", F.last("__r", ignorenulls=True).over(order)).where("__side = 1")
-    rest = triggers.where(~_known(keys)).select(payload.alias("__l"))
-    return found.select("__l", "__r").unionByName(rest, allowMissingColumns=True).select("__l.*", *[F.col(f"__r.{n}").alias(n) for n in columns.values()])
+    return found.select("__l.*", *[F.col(f"__r.{n}").alias(n) for n in columns.values()])
 
 
 def lookback(triggers: DataFrame, samples: DataFrame, keys: list[str], trigger_ts: str, sample_ts: str, values: list[str], seconds: list[int]) -> DataFrame:
@@ -79,10 +83,10 @@ def lookback(triggers: DataFrame, samples: DataFrame, keys: list[str], trigger_t
     two is 0; a trigger without any sample of its keys gets nulls throughout.  One shuffle for all scales.
     """
     payload = F.struct(*[F.col(c) for c in triggers.columns])
-    told = samples.where(_known(keys)).select(*keys, F.col(sample_ts).cast("long").alias("__t"), F.lit(0).alias("__side"), *[F.col(v).cast("double").alias(f"__{v}") for v in values])
-    asked = triggers.where(_known(keys)).select(*keys, F.col(trigger_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
+    told = samples.where(_known(keys)).select(*keys, F.lit(0).alias("__s"), F.col(sample_ts).cast("long").alias("__t"), F.lit(0).alias("__side"), *[F.col(v).cast("double").alias(f"__{v}") for v in values])
+    asked = triggers.select(*keys, _salt(triggers, _known(keys), trigger_ts).alias("__s"), F.col(trigger_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
     both = told.unionByName(asked, allowMissingColumns=True)
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*keys, "__s")
     out: dict[str, Column] = {"__any": F.max(F.when(F.col("__side") == 0, 1)).over(group)}
     for s in seconds:
         frame = group.orderBy("__t").rangeBetween(-1000 * s, 0)
@@ -92,9 +96,7 @@ def lookback(triggers: DataFrame, samples: DataFrame, keys: list[str], trigger_t
         out[f"n_samples_{s}s"] = F.sum(F.when(F.col("__side") == 0, 1).otherwise(0)).over(frame).cast("long")
     names = [n for n in out if n != "__any"]
     found = both.withColumns(out).where("__side = 1")
-    found = found.select("__l", *[F.when(F.col("__any") == 1, F.col(n)).alias(n) for n in names])
-    rest = triggers.where(~_known(keys)).select(payload.alias("__l"))
-    return found.unionByName(rest, allowMissingColumns=True).select("__l.*", *names)
+    return found.select("__l.*", *[F.when(F.col("__any") == 1, F.col(n)).alias(n) for n in names])
 
 
 def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, first: str, last: str, columns: dict[str, str]) -> DataFrame:
