@@ -32,7 +32,7 @@ def _powers(size: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int, multiplier: int = _MULTIPLIERS[0]) -> tuple[np.ndarray, np.ndarray]:
     """``multiplier ** i`` and its inverse modulo 2**64, for ``i < n``."""
-    size = 1 << max(22, int(n).bit_length())
+    size = 1 << max(20, (int(n) - 1).bit_length())
     up, down = _powers(size, multiplier)
     return up[:n], down[:n]
 
@@ -57,7 +57,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 class ChunkTable:
     """``encode``: list of distinct chunks -> for each dtype, the payloads of all of them, joined, and the length of each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], dtypes: tuple, max_entries: int = 1_500_000, max_chunk: int = 256):
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], dtypes: tuple, max_entries: int = 600_000, max_chunk: int = 256):
         self.encode, self.dtypes, self.max_entries, self.max_chunk = encode, dtypes, max_entries, max_chunk
         self._empty()
 
@@ -251,7 +251,7 @@ def piece_table(path: str) -> ChunkTable:
             out.append((ragged(values, starts[ids], sizes[ids]), np.bincount(of, sizes[ids], len(lists)).astype(np.int64)))
         return out
 
-    return ChunkTable(encode, (np.uint32, np.uint8, np.uint8), max_entries=1_000_000)
+    return ChunkTable(encode, (np.uint32, np.uint8, np.uint8), max_entries=500_000)
 
 
 def encode_pieces(texts: list[bytes], path: str) -> list[tuple[int, bytes, bytes]]:

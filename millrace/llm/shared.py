@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; working memory is a small multiple of it.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1_000_000
 
 
 _OWN: dict[str, str] = {}

@@ -83,7 +83,7 @@ def _table(lexicon: dict[str, float]) -> ChunkTable:
         rows = [word_features(c.decode("utf-8"), lexicon) for c in chunks]
         return [(np.array(rows, np.float32).ravel(), np.full(len(rows), WIDE, np.int64))]
 
-    return ChunkTable(encode, (np.float32,), max_entries=400_000)
+    return ChunkTable(encode, (np.float32,), max_entries=200_000)
 
 
 FEATURES = 21
