@@ -35,4 +35,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum("b")).first())
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(20,0)"))).first())
