@@ -194,14 +194,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_words(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, joined, and the number of ids of each: what the library gives for each whole text without special tokens."""
     table = word_table(path)
-    buf = b"\n".join(texts).lower()
+    buf = b"\n".join(texts)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     if not buf:
         return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
     begins = np.cumsum(lens + 1) - lens - 1
-    starts, ends = word_spans(np.frombuffer(buf, np.uint8))
+    raw, data = np.frombuffer(buf, np.uint8), np.frombuffer(buf.lower(), np.uint8)
+    starts, ends = word_spans(data)
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    # the library composes letters and finds added tokens before it lower-cases: only other chunks are filed in lower case
+    odd = np.concatenate([[0], np.cumsum((raw >= 0x80) | (raw == 60))])
+    odd = odd[ends] > odd[starts]
+    if odd.any():
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[odd]] += 1
+        step[ends[odd]] -= 1
+        data = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, raw, data)
+    buf = data.tobytes()
     ids, n = table.gather(table.rows_of(buf, starts, ends))
     total = np.concatenate([[0], np.cumsum(n)])
     at = np.searchsorted(starts, np.append(begins, len(buf) + 1))
