@@ -61,3 +61,12 @@ def test_near_copies_are_those_of_all_pairs(spark):
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert got.count(None) == 1
     assert sorted(i for i in got if i is not None) == sorted(first.values())
+
+
+def test_rows_are_decided_one_by_one_where_ids_repeat(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, one, "en", "s", 0), (2, one + " end", "en", "s", 0), (2, two, "en", "s", 0), (3, three, "en", "b", 0), (3, three, "en", "a", 0), (3, three, "en", "a", 0), (None, one, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
