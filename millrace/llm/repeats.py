@@ -5,19 +5,22 @@ don't cross documents and are judged on the input.  An index of the whole corpus
 strings are dealt out by content.  Every 50-byte string has an anchor, the least hash of its 20-byte substrings; equal
 strings have equal anchors.
 
-1. Whole texts that a smaller doc_id has are found by digest (a partial aggregate over narrow rows): all their strings go, and
-   they bring no string that the first of them doesn't, so they send nothing on.
-2. Groups of documents send the anchors of their strings, 6 bytes each and once a group, to buckets by anchor; a bucket
-   tells each group which of its anchors other documents have too.
-3. Runs of strings with such an anchor become segments.  A group sends each distinct segment once, under its smallest
-   doc_id, to a bucket by anchor; segments of very common anchors are cut into single strings, dealt by their own content.
-4. A bucket builds run-compressed Burrows-Wheeler transforms of its distinct segments with samples at run ends, streams the
-   segments through them, and marks each string that a smaller doc_id has.
-5. Marks return to their documents, whose bytes are cut.
-
-Every exchange is of packed arrays, by hash; a group of copies sends each segment once a group, a common anchor is
-split, and no list grows with the whole corpus.  Anchors are told apart by 48 bits, which can only add candidates;
-segments by 128-bit hashes within a group and bucket.
+1. Documents are dealt into groups of bounded bytes.  Equal texts of a group are one text, known by its least doc_id.  A group
+   sends the anchors of its strings, 6 bytes each and once a group, to buckets by anchor; a bucket tells each group which
+   of its anchors other documents have too.
+2. Runs of strings with such an anchor become segments, so that each string stands in exactly one.  As in prefix-free parsing a
+   bucket's texts are then a dictionary of distinct segments (by two hashes of 64 bits) and their occurrences; a group sends a
+   segment once, under its smallest doc_id, with all places where its texts have it.  Segments of very common anchors
+   are cut into single strings, dealt by their own content.
+3. A bucket builds run-compressed Burrows-Wheeler transforms of its dictionary, with samples at run ends and the least document of each
+   50-byte interval.  A segment that only the last document of its anchor has can't be a source and isn't put in.  All segments
+   are streamed through the index as patterns; their matching statistics give the strings of 50 bytes that the index has,
+   and from whom.  Nothing else marks a byte: whole copies and equal segments go through the index like all others.
+4. Marks return to the texts, whose bytes are cut.
+
+Every exchange is of packed arrays, by hash; groups, buckets and tasks follow the input's bytes, so none grows with the
+corpus; long texts are worked on in overlapping windows.  A group of copies sends each segment once a group, a common anchor is
+split.  Anchors are told apart by 48 bits, which can only add candidates.
 
 Null text is empty; texts under 50 bytes lose nothing; documents with equal doc_id don't remove from each other and
 keep their rows; a null doc_id counts as larger than all others; extra columns pass through :func:`cut_repeats`.
@@ -34,9 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import powers, prefix_hash, span_hashes
 from .run_length_index import RunLengthIndex
-from .shared import byte_list, partitions, ragged, steps
+from .shared import byte_list, partitions, ragged
 
 LENGTH = 50
 GRAM = 20
@@ -44,17 +46,20 @@ GRAM = 20
 COMMON = 1000
 #: Strings in a segment at most.
 RUN = 64
-#: Tasks that the rows of one whole text may be spread over when its copies are looked up.
-SALTS = 64
-#: Indexes that a bucket is dealt to.
-PARTS = 16
+#: Bytes of text in a group, about; a text is never cut between groups.
+GROUP_BYTES = 8 << 20
+#: Strings of a text worked on at once.
+WINDOW = 1 << 17
+#: Bytes of segments in an index, about; segments that share a string always meet.
+INDEX_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
 _MASK = np.uint64((1 << 48) - 1)
+_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))) * _M[2]
+    x = (x ^ (x >> np.uint64(29))) * _M[3]
     return x ^ (x >> np.uint64(32))
 
 
@@ -62,15 +67,27 @@ def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return (_mix(x + np.uint64(0x51ED270B)) % np.uint64(n)).astype(np.int64)
 
 
-def anchors(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and document of each string of ``length`` bytes within a document, and its anchor (48 bits)."""
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (fewer places than bytes), as an aligned array."""
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, strides=(1,)).copy()
+
+
+def anchors(data: np.ndarray, lens: np.ndarray, words: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and text of each string of ``length`` bytes within a text, and its anchor (48 bits)."""
     n, ends = len(data), np.cumsum(lens)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p = prefix_hash(data)
-    _, down = powers(n + 1)
-    h = _mix((p[gram:] - p[:-gram]) * down[: n - gram + 1]) >> np.uint64(16)
-    span, width = length - gram + 1, 1
+    k = n - GRAM + 1
+    h = words[:k] * _M[0]
+    h ^= h >> np.uint64(32)
+    h += words[8 : 8 + k] * _M[1]
+    h ^= h >> np.uint64(29)
+    h += words[12 : 12 + k]
+    h *= _M[2]
+    h ^= h >> np.uint64(32)
+    h *= _M[3]
+    h >>= np.uint64(16)
+    span, width = length - GRAM + 1, 1
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
@@ -83,44 +100,77 @@ def anchors(data: np.ndarray, lens: np.ndarray, length: int = LENGTH, gram: int
 
 
 def _runs(start: np.ndarray, doc: np.ndarray, anchor: np.ndarray, most: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """First string of each run of strings with one anchor in one document, of ``most`` strings at most; and the run's strings."""
+    """First string of each run of strings with one anchor in one text, of ``most`` strings at most; and the run's strings."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     size = np.diff(at, append=len(start))
     parts = -(-size // most)
+    if (parts == 1).all():
+        return at, size
     first = np.repeat(at, parts) + most * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
     return first, np.diff(first, append=len(start))
 
 
-def _row_keys(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+def _segment_hashes(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each segment of 8 bytes or more: its words one after another, the last one flush with its end."""
+    a, b = lens.astype(np.uint64) * _M[0], lens.astype(np.uint64) * _M[1] + np.uint64(1)
+    left = np.arange(len(starts))
+    for d in range(0, int(lens.max(initial=0)), 8):
+        left = left[lens[left] > d]
+        w = words[starts[left] + np.minimum(d, lens[left] - 8)]
+        x = (a[left] ^ w) * _M[2]
+        a[left] = x ^ (x >> np.uint64(29))
+        y = (b[left] + w) * _M[3]
+        b[left] = y ^ (y >> np.uint64(31))
+    return _mix(a), _mix(b)
+
 
-    return np.fromiter((xxh64_intdigest(t, d & 0xFFFFFFFFFFFFFFFF) for t, d in zip(texts, docs.tolist())), np.uint64, len(texts))
+def _distinct(h1: np.ndarray, h2: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's class of equal hashes, and of each class the row that is least by ``then``."""
+    by = np.lexsort((then, h2, h1))
+    new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])[: len(by)]
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(new) - 1
+    return of, by[new]
 
 
 class _Group:
-    """A group's rows: texts, doc ids (null: larger than all), keys, and which are copies of a smaller doc_id."""
+    """A group's rows and its distinct texts, ordered by their least doc_id (null: larger than all) and bytes."""
 
     def __init__(self, table: pa.Table):
-        marks = table.column("__copy").to_numpy().astype(bool)
+        self.table = table
+        texts = [t for chunk in table.column("text").chunks for t in byte_list(chunk)]
         ids = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        told = {(d, t) for d, t in zip(ids[marks].tolist(), table.column("text").filter(pa.array(marks)).to_pylist())}
-        self.table = table.filter(pa.array(~marks))
-        self.texts = [t for chunk in self.table.column("text").chunks for t in byte_list(chunk)]
-        self.docs = ids[~marks]
-        copied = {d for d, _ in told}
-        self.copy = np.fromiter((d in copied and (d, hashlib.sha256(t).hexdigest()) in told for d, t in zip(self.docs.tolist(), self.texts)), bool, len(self.texts))
-
-    def numbers(self) -> np.ndarray:
-        """A number for each row, the same wherever the group is read; equal rows share one."""
-        keys = _row_keys(self.texts, self.docs)
-        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
-
-    def sources(self) -> tuple[np.ndarray, list[bytes]]:
-        """Rows that aren't copies."""
-        rows = np.flatnonzero(~self.copy)
-        return rows, [self.texts[i] for i in rows.tolist()]
+        held: dict[bytes, set[int]] = {}
+        for t, d in zip(texts, ids.tolist()):
+            held.setdefault(t, set()).add(d)
+        self.texts = sorted(held, key=lambda t: (min(held[t]), t))
+        self.least = np.fromiter((min(held[t]) for t in self.texts), np.int64, len(self.texts))
+        self.docs = np.fromiter((len(held[t]) for t in self.texts), np.int64, len(self.texts))
+        number = {t: k for k, t in enumerate(self.texts)}
+        self.text_of = [number[t] for t in texts]
+        self.later = ids > self.least[self.text_of] if texts else np.zeros(0, bool)
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes, lengths, text numbers and offsets of windows of texts, so that each string of ``LENGTH`` bytes is in one."""
+        parts: list[tuple[bytes, int, int]] = []
+        size = 0
+        for k, t in enumerate(self.texts):
+            for a in range(0, max(len(t) - LENGTH + 1, 0), WINDOW):
+                part = t if len(t) <= WINDOW else t[a : a + WINDOW + LENGTH - 1]
+                parts.append((part, k, a))
+                size += len(part)
+                if size >= WINDOW:
+                    yield self._joined(parts)
+                    parts, size = [], 0
+        if parts:
+            yield self._joined(parts)
+
+    @staticmethod
+    def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lens, number, offset = (np.fromiter(x, np.int64, len(parts)) for x in ((len(p[0]) for p in parts), (p[1] for p in parts), (p[2] for p in parts)))
+        return np.frombuffer(b"".join(p[0] for p in parts), np.uint8), lens, number, offset
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -140,46 +190,39 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _ANCHORS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
 _SHARED = pa.schema([("g", pa.int64()), ("anchors", pa.binary()), ("common", pa.binary())])
-_SEGMENTS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("part", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("size", pa.int64()), ("of", pa.binary()), ("rows", pa.binary()), ("at", pa.binary()), ("known", pa.binary())])
-_MARKS = pa.schema([("g", pa.int64()), ("marks", pa.binary())])
+_SEGMENTS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("key", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("size", pa.int64()), ("of", pa.binary()), ("rows", pa.binary()), ("at", pa.binary())])
+_MARKS = pa.schema([("g", pa.int64()), ("marks", pa.binary()), ("size", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
-def _split(values: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by bucket, the buckets that have any, and where each begins and ends."""
-    order = np.argsort(bucket, kind="stable")
-    full, at = np.unique(bucket[order], return_index=True)
-    return order, full, np.append(at, len(values))
-
-
 def _send_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         group = _Group(table)
-        rows, texts = group.sources()
-        docs = group.docs[rows]
-        seen_a, seen_d = [], []
-        for a, b in steps(texts):
-            start, doc, anchor = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), np.fromiter(map(len, texts[a:b]), np.int64, b - a))
+        seen = []
+        for data, lens, number, _ in group.windows():
+            start, doc, anchor = anchors(data, lens, _words(data))
             first, _ = _runs(start, doc, anchor, _LAST)
-            x, d = anchor[first], docs[a:b][doc[first]]
-            order = np.lexsort((d, x))
-            x, d = x[order], d[order]
-            new = np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])]) if len(x) else np.zeros(0, bool)
-            seen_a.append(x[new]), seen_d.append(d[new])
-        x, d = np.concatenate([np.zeros(0, np.uint64), *seen_a]), np.concatenate([np.zeros(0, np.int64), *seen_d])
-        order = np.lexsort((d, x))
-        x, d = x[order], d[order]
-        if not len(x):
+            x, d = anchor[first], number[doc[first]]
+            by = np.lexsort((d, x))
+            x, d = x[by], d[by]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])])
+            seen.append((x[new], d[new]))
+        if not seen:
             return _batch(_ANCHORS, [])
+        x, d = (np.concatenate(c) for c in zip(*seen))
+        by = np.lexsort((d, x))
+        x, d = x[by], d[by]
+        other = np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])])  # a long text's windows may repeat an anchor
         new = np.concatenate([[True], x[1:] != x[:-1]])
-        other = new | np.concatenate([[True], d[1:] != d[:-1]])
-        own, count = x[new], np.minimum(np.add.reduceat(other, np.flatnonzero(new)), 255).astype(np.uint8)
-        order, full, at = _split(own, _bucket(own, buckets), buckets)
-        own, count, g = own[order], count[order], table.column("__g")[0].as_py()
-        return _batch(_ANCHORS, [(k, g, _six(own[i:j]), count[i:j].tobytes()) for k, i, j in zip(full.tolist(), at, at[1:])])
+        own, count = x[new], np.minimum(np.add.reduceat(np.where(other, group.docs[d], 0), np.flatnonzero(new)), 255).astype(np.uint8)
+        bucket = _bucket(own, buckets)
+        by = np.argsort(bucket, kind="stable")
+        full, at = np.unique(bucket[by], return_index=True)
+        own, count, g = own[by], count[by], table.column("__g")[0].as_py()
+        return _batch(_ANCHORS, [(k, g, _six(own[i:j]), count[i:j].tobytes()) for k, i, j in zip(full.tolist(), at, np.append(at[1:], len(own)))])
 
     return run
 
@@ -212,212 +255,179 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_segments(buckets: int):
+    """Occurrences go as (row, later) in ``rows`` and the place in ``at``.  Row 2k is text k in its least document, row 2k + 1 in
+    larger ones; ``later`` says that the document is larger than the one that the segment is sent under."""
+
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not table.num_rows:
+        if not table.num_rows or not shared.num_rows:
             return _batch(_SEGMENTS, [])
         group, g = _Group(table), table.column("__g")[0].as_py()
-        number = group.numbers()
-        copies = np.flatnonzero(group.copy)
-        known = [np.stack([number[copies], np.zeros(len(copies), np.int64), np.fromiter((len(group.texts[i]) for i in copies), np.int64, len(copies))])[:, [len(group.texts[i]) >= LENGTH for i in copies]]] if len(copies) else []
-
-        def rest() -> list[tuple]:
-            return [(g % buckets, g, b"", b"", b"", b"", 0, b"", b"", b"", _packed(np.concatenate(known, 1)))] if known else []
-
-        if not shared.num_rows:
-            return _batch(_SEGMENTS, rest())
         told = _of_six(b"".join(shared.column("anchors").to_pylist()))
         common = np.frombuffer(b"".join(shared.column("common").to_pylist()), np.uint8)
-        order = np.argsort(told)
-        told, common = told[order], common[order].astype(bool)
-        rows, texts = group.sources()
-        docs, number = group.docs[rows], number[rows]
+        by = np.argsort(told)
+        told, common = told[by], common[by].astype(bool)
         parts: list[tuple] = []
-        for a, b in steps(texts):
-            data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-            lens = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
-            start, doc, anchor = anchors(data, lens)
+        for data, lens, number, offset in group.windows():
+            words = _words(data)
+            start, doc, anchor = anchors(data, lens, words)
             first, size = _runs(start, doc, anchor)
-            if not len(first):
-                continue
             i = np.minimum(np.searchsorted(told, anchor[first]), len(told) - 1)
             hit = told[i] == anchor[first]
             first, size, single = first[hit], size[hit], common[i[hit]]
             alone = ragged(np.arange(len(start)), first[single], size[single])  # strings of common anchors
             at = np.concatenate([first[~single], alone])
-            size = np.concatenate([size[~single], np.ones(len(alone), np.int64)])
             if not len(at):
                 continue
-            s, n = start[at], size + LENGTH - 1
-            h1, h2 = span_hashes(data, s, s + n)
-            where = np.where(np.arange(len(at)) < (~single).sum(), anchor[at], h1)
-            row = doc[at] + a
-            # one text for each distinct segment of a step
-            by = np.lexsort((docs[row], h2, h1))
-            new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
-            kept = by[new]
-            body = ragged(data, s[kept], n[kept])
-            parts.append((h1, h2, where, docs[row], number[row], s - (np.cumsum(lens) - lens)[doc[at]], n, kept, body))
+            n = np.concatenate([size[~single], np.ones(len(alone), np.int64)]) + LENGTH - 1
+            s = start[at]
+            h1, h2 = _segment_hashes(words, s, n)
+            key = np.where(np.arange(len(at)) < len(at) - len(alone), _mix(anchor[at]), h1)
+            of, kept = _distinct(h1, h2, np.arange(len(at)))  # one text for each distinct segment of a window
+            body = np.zeros(len(at), bool)
+            body[kept] = True
+            kept = np.flatnonzero(body)
+            parts.append((h1, h2, key, number[doc[at]], s - (np.cumsum(lens) - lens)[doc[at]] + offset[doc[at]], n, body, ragged(data, s[kept], n[kept])))
         if not parts:
-            return _batch(_SEGMENTS, rest())
-        h1, h2, where, own, number, pos, n = (np.concatenate(x) for x in list(zip(*parts))[:7])
-        offset = np.cumsum([0, *(len(p[0]) for p in parts)])
-        body = np.concatenate([p[8] for p in parts])
-        body_at = np.full(len(h1), -1, np.int64)
-        kept = np.concatenate([p[7] + o for p, o in zip(parts, offset)])
-        body_at[kept] = np.cumsum(n[kept]) - n[kept]
-        by = np.lexsort((body_at < 0, h2, h1))
-        new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
-        segment = np.empty(len(by), np.int64)
-        segment[by] = np.cumsum(new) - 1
-        head = by[new]  # has a body
-        least = np.full(len(head), _LAST, np.int64)
-        np.minimum.at(least, segment, own)
-        mine = own == least[segment]
-        later = ~mine  # the same segment is in a smaller document of this group
-        if later.any():
-            known.append(np.stack([number[later], pos[later], pos[later] + n[later]]))
-        out = rest()
-        mixed = _mix(where[head] + np.uint64(0x2545F491))
-        bucket, part = (mixed % np.uint64(buckets)).astype(np.int64), (mixed // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
-        order, full, at = _split(head, bucket * PARTS + part, buckets * PARTS)
-        bucket_of = bucket[order]
-        full, at = np.unique(bucket_of, return_index=True)
-        at = np.append(at, len(order))
-        seen = np.flatnonzero(mine)
+            return _batch(_SEGMENTS, [])
+        h1, h2, key, text, pos, n, body, bytes_ = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        begin = np.cumsum(np.where(body, n, 0)) - np.where(body, n, 0)
+        segment, head = _distinct(h1, h2, ~body)  # heads have bytes
+        del h1, h2
+        least = np.full(len(head), len(group.texts), np.int64)
+        np.minimum.at(least, segment, text)
+        owner = group.least[least]
+        later = group.least[text] > owner[segment]
+        twice = np.flatnonzero(group.docs[text] > 1)  # texts of several documents: the larger ones' own rows
+        segment, pos = np.concatenate([segment, segment[twice]]), np.concatenate([pos, pos[twice]])
+        row = np.concatenate([4 * text + later, 4 * text[twice] + 3]).astype(np.uint32)
+        bucket = _bucket(key[head], buckets)
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(head), np.int64)
         rank[order] = np.arange(len(head))
-        seen = seen[np.argsort(rank[segment[seen]], kind="stable")]
-        seen_rank = rank[segment[seen]]
-        for k, i, j in zip(full.tolist(), at, at[1:]):
+        by = np.argsort(rank[segment], kind="stable")
+        row, pos, seen = row[by], pos[by].astype(np.uint32), rank[segment[by]]
+        full, at = np.unique(bucket[order], return_index=True)
+        count = np.bincount(seen, minlength=len(head)).astype(np.uint32)
+        out = []
+        for k, i, j in zip(full.tolist(), at, np.append(at[1:], len(order))):
             some = order[i:j]
-            x, y = np.searchsorted(seen_rank, (i, j))
-            occ = seen[x:y]
-            text = ragged(body, body_at[head[some]], n[head[some]]).tobytes()
-            out.append((k, g, part[some].astype(np.uint8).tobytes(), least[some].tobytes(), n[head[some]].astype(np.uint8).tobytes(), pa.compress(text, "zstd", asbytes=True), len(text), np.diff(seen_rank[x:y], prepend=i).astype(np.uint8).tobytes(), number[occ].astype(np.uint32).tobytes(), pos[occ].astype(np.uint32).tobytes(), b""))
+            x, y = np.searchsorted(seen, (i, j))
+            joined = ragged(bytes_, begin[head[some]], n[head[some]]).tobytes()
+            out.append((k, g, key[head[some]].tobytes(), owner[some].tobytes(), n[head[some]].astype(np.uint8).tobytes(), pa.compress(joined, "zstd", asbytes=True), len(joined), count[i:j].tobytes(), row[x:y].tobytes(), pos[x:y].tobytes()))
         return _batch(_SEGMENTS, out)
 
     return run
 
 
-def _packed(marks: np.ndarray) -> bytes:
-    """Rows, starts and ends of marks as 32-bit numbers."""
-    return marks.astype(np.uint32).tobytes()
-
-
-def _unpacked(marks: bytes) -> np.ndarray:
-    return np.frombuffer(marks, np.uint32).reshape(3, -1).astype(np.int64)
-
-
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, list[np.ndarray]] = {}
     for _, rows in _by_bucket(batches):
-        for r in rows:
-            if r["known"]:
-                found.setdefault(r["g"], []).append(_unpacked(r["known"]))
-        rows = [r for r in rows if r["docs"]]
-        if not rows:
-            continue
         docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
         lens = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
-        part = np.concatenate([np.frombuffer(r["part"], np.uint8) for r in rows])
+        key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
         data = np.frombuffer(b"".join(pa.decompress(r["text"], r["size"], "zstd", asbytes=True) for r in rows), np.uint8)
-        base = np.cumsum([0, *(len(r["docs"]) // 8 for r in rows)])
-        of = np.concatenate([np.cumsum(np.frombuffer(r["of"], np.uint8), dtype=np.int64) + b for r, b in zip(rows, base)])
-        number, at = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]).astype(np.int64) for c in ("rows", "at"))
+        of = np.repeat(np.arange(len(docs)), np.concatenate([np.frombuffer(r["of"], np.uint32) for r in rows]))
+        row, at = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]) for c in ("rows", "at"))
         sender = np.repeat(np.array([r["g"] for r in rows]), [len(r["rows"]) // 4 for r in rows])
+        del rows
         starts = np.cumsum(lens) - lens
-        for k in range(PARTS):
+        parts = -(-len(data) // INDEX_BYTES)
+        part = (_mix(key) % np.uint64(parts)).astype(np.int64)
+        for k in range(parts):
             own = part == k
             if not own.any():
                 continue
-            number_of = np.cumsum(own) - 1
-            occ = own[of]
-            spots = np.stack([number[occ], at[occ]])
-            marks, whose = _marks_of(ragged(data, starts[own], lens[own]), lens[own], docs[own], number_of[of[occ]], spots)
-            g = sender[occ][whose]
-            order = np.argsort(g, kind="stable")
-            full, cut = np.unique(g[order], return_index=True)
-            for x, i, j in zip(full.tolist(), cut, np.append(cut[1:], len(order))):
-                found.setdefault(x, []).append(marks[:, order[i:j]])
+            occ = np.flatnonzero(own[of])
+            marks, whose = _marks_of(ragged(data, starts[own], lens[own]), lens[own], docs[own], key[own], (np.cumsum(own) - 1)[of[occ]], (row[occ] & 1).astype(bool))
+            whose = occ[whose]
+            marks = np.stack([row[whose] >> np.uint32(1), at[whose] + marks[0], marks[1]]).astype(np.uint32)
+            g = sender[whose]
+            by = np.lexsort((marks[0], g))
+            full, cut = np.unique(g[by], return_index=True)
+            for x, i, j in zip(full.tolist(), cut, np.append(cut[1:], len(by))):
+                found.setdefault(x, []).append(marks[:, by[i:j]])
     for g, marks in found.items():
-        yield from _batch(_MARKS, [(g, _packed(np.concatenate(marks, 1)))]).to_batches()
-
+        joined = np.concatenate(marks, 1).tobytes()
+        yield from _batch(_MARKS, [(g, pa.compress(joined, "zstd", asbytes=True), len(joined))]).to_batches()
 
-def _marks_of(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, of: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks (row, start, end) of segments' occurrences, and the occurrence that each is of.
 
-    ``data``, ``lens``, ``docs``: segments and the smallest document that each sender has them in; ``of``: the segment of each
-    occurrence in that document; ``spots``: its row and start.
-    """
-    starts = np.cumsum(lens) - lens
-    h1, h2 = span_hashes(data, starts, starts + lens)
-    by = np.lexsort((docs, h2, h1))
-    new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
-    distinct = np.empty(len(by), np.int64)
-    distinct[by] = np.cumsum(new) - 1
-    head = by[new]
-    order = np.argsort(docs[head], kind="stable")
-    index = RunLengthIndex(ragged(data, starts[head[order]], lens[head[order]]), lens[head[order]], docs[head[order]], LENGTH)
-    text, start, owner = index.first_owners()
-    text = order[text]  # number of the distinct segment
-    gone = owner < docs[head[text]]
-    text, start = text[gone], start[gone]
+def _runs_of(text: np.ndarray, start: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts in a text: first, size, and for each text where its runs begin (one more than texts)."""
     by = np.lexsort((start, text))
     text, start = text[by], start[by]
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
-    run_text, run_start = text[new], start[new]
-    run_end = start[np.append(new[1:], len(start)) - 1] + LENGTH if len(new) else run_start
-    run_from = np.searchsorted(run_text, np.arange(len(head) + 1))
-    d = distinct[of]
-    whole = docs[of] > docs[head[d]]  # another sender has the segment in a smaller document
-    every, some = np.flatnonzero(whole), np.flatnonzero(~whole)
-    runs = run_from[d[some] + 1] - run_from[d[some]]
-    each = ragged(np.arange(len(run_text)), run_from[d[some]], runs)
-    some = np.repeat(some, runs)
-    marks = np.concatenate([np.stack([spots[0, every], spots[1, every], spots[1, every] + lens[of[every]]]), np.stack([spots[0, some], spots[1, some] + run_start[each], spots[1, some] + run_end[each]])], 1)
-    return marks, np.concatenate([every, some])
-
-
-def removed_bytes(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
+    return start[new], np.diff(new, append=len(text)), np.searchsorted(text[new], np.arange(texts + 1))
+
+
+def _marks_of(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, key: np.ndarray, of: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (start, size) in segments' occurrences, and the occurrence that each is of.
+
+    ``data``, ``lens``, ``docs``, ``key``: segments as sent, the smallest document that the sender has them in, and what their anchor
+    gives; ``of``: the segment of each occurrence; ``later``: whether it is in a larger document than that.
+    """
+    starts = np.cumsum(lens) - lens
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    distinct, head = _distinct(*_segment_hashes(_words(padded), starts, lens), docs)
+    own, size = docs[head], lens[head]
+    beyond = later | (docs[of] > own[distinct[of]])  # the occurrence is in a larger document than the segment's first
+    source = np.zeros(len(head), bool)
+    source[distinct[of[beyond]]] = True
+    by = np.lexsort((own, key[head]))
+    k, o = key[head][by], own[by]
+    last = np.append(np.flatnonzero(k[1:] != k[:-1]), len(k) - 1)
+    source[by] |= o < o[last[np.searchsorted(last, np.arange(len(k)))]]
+    kept = np.flatnonzero(source)
+    index = RunLengthIndex(ragged(data, starts[head[kept]], size[kept]), size[kept], own[kept], LENGTH)
+    text, start, owner = index.matches(ragged(data, starts[head], size), size)
+    before = owner < own[text]
+    known = owner <= own[text]
+    marks, whose = [], []
+    for chosen, some in ((before, np.flatnonzero(~beyond)), (known, np.flatnonzero(beyond))):
+        first, count, begins = _runs_of(text[chosen], start[chosen], len(head))
+        d = distinct[of[some]]
+        runs = begins[d + 1] - begins[d]
+        each = ragged(np.arange(len(first)), begins[d], runs)
+        marks.append(np.stack([first[each], count[each] + LENGTH - 1]))
+        whose.append(np.repeat(some, runs))
+    return np.concatenate(marks, 1), np.concatenate(whose)
+
+
+def removed_bytes(size: int, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    edge = np.bincount(starts, minlength=size + 1) - np.bincount(starts + lens, minlength=size + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(each, names: list[str]):
-    """``each``: text and mask of removed bytes (None: nothing) -> values of the added columns."""
+def _cut(each):
+    """``each``: text and mask of removed bytes (None: nothing) -> a row's added values."""
 
-    def run(table: pa.Table, marks: pa.Table) -> tuple[pa.Table, dict[str, list]]:
+    def run(table: pa.Table, marks: pa.Table) -> tuple[pa.Table, list[tuple]]:
         group = _Group(table)
-        row, starts, ends = np.concatenate([np.zeros((3, 0), np.int64), *(_unpacked(m) for m in marks.column("marks").to_pylist())], 1)
-        order = np.argsort(row, kind="stable")
-        row, starts, ends = row[order], starts[order], ends[order]
-        own = group.numbers()
-        lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
-        rows = [each(t, removed_bytes(len(t), starts[i:j], ends[i:j]) if i < j else None) for t, i, j in zip(group.texts, lo.tolist(), hi.tolist())]
-        return group.table.drop_columns(["__g", "__copy"]), {n: [r[k] for r in rows] for k, n in enumerate(names)}
+        packed = zip(marks.column("marks").to_pylist(), marks.column("size").to_pylist())
+        row, start, size = np.concatenate([np.zeros((3, 0), np.uint32), *(np.frombuffer(pa.decompress(m, n, "zstd", asbytes=True), np.uint32).reshape(3, -1) for m, n in packed)], 1).astype(np.int64)
+        by = np.argsort(row, kind="stable")
+        row, start, size = row[by], start[by], size[by]
+        at = np.searchsorted(row, np.arange(2 * len(group.texts) + 1)).tolist()
+        done: dict[int, tuple] = {}
+        for r in {2 * t + bool(x) for t, x in zip(group.text_of, group.later)}:
+            text, i, j = group.texts[r // 2], at[r], at[r + 1]
+            done[r] = each(text, removed_bytes(len(text), start[i:j], size[i:j]) if i < j else None)
+        return table.drop_columns(["__g"]), [done[2 * t + bool(x)] for t, x in zip(group.text_of, group.later)]
 
     return run
 
 
 def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     """Group the documents, find the marks, and hand both to ``finish``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(docs.sparkSession)
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    narrow = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    copies = salted.join(first, ["digest", "salt"]).where(order > F.col("first")).select("doc_id", F.col("digest").alias("text"), F.lit(1).alias("__copy"))
-    both = docs.withColumn("__copy", F.lit(0)).unionByName(copies, allowMissingColumns=True)
-    digest = F.when(F.col("__copy") == 1, F.col("text")).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256))
-    spread = F.xxhash64(order, F.when(F.col("doc_id").isNull(), digest))  # rows without an id aren't one group
-    grouped = both.withColumn("__g", F.pmod(spread, F.lit(2 * n))).repartition(n, "__g")
-    sent = grouped.groupBy("__g").applyInArrow(_send_anchors(n), _ddl(_ANCHORS))
-    shared = sent.repartition(n, "bucket").mapInArrow(_share, _ddl(_SHARED))
-    segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(n), _ddl(_SEGMENTS))
-    marks = segments.repartition(n, "bucket").mapInArrow(_mark, _ddl(_MARKS))
+    tasks = max(n, -(-size // (2 * GROUP_BYTES)))
+    spread = F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(16)))  # rows with one id, or without, aren't one group
+    grouped = docs.withColumn("__g", F.pmod(spread, F.lit(2 * tasks))).repartition(tasks, "__g")
+    sent = grouped.select("__g", "doc_id", "text").groupBy("__g").applyInArrow(_send_anchors(tasks), _ddl(_ANCHORS))
+    shared = sent.repartition(tasks, "bucket").mapInArrow(_share, _ddl(_SHARED))
+    segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(tasks), _ddl(_SEGMENTS))
+    marks = segments.repartition(tasks, "bucket").mapInArrow(_mark, _ddl(_MARKS))
     return grouped.groupBy("__g").cogroup(marks.groupBy("g")).applyInArrow(finish, schema)
 
 
@@ -427,20 +437,19 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    none = (0, 0)
 
     def each(text: bytes, gone: np.ndarray | None) -> tuple:
         if gone is None:
-            return (len(text), *none, hashlib.sha256(text).hexdigest())
+            return (len(text), 0, 0, hashlib.sha256(text).hexdigest())
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return (len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
 
-    cut = _cut(each, ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    cut = _cut(each)
+    types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
-        own, more = cut(table, marks)
-        types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
-        return pa.table({"doc_id": own.column("doc_id"), **{k: pa.array(v, types[k]) for k, v in more.items()}})
+        own, rows = cut(table, marks)
+        return pa.table({"doc_id": own.column("doc_id"), **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(types.items())}})
 
     return _marked(_typed(docs).select("doc_id", "text"), finish, T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
@@ -456,17 +465,16 @@ def cut_repeats(docs: DataFrame, length_column: str | None = "n_chars") -> DataF
         gone = np.logical_and.reduceat(gone, np.flatnonzero(first))[np.cumsum(first) - 1]
         return (data[~gone].tobytes().decode("utf-8"),)
 
-    cut = _cut(each, ["cut"])
-    at = docs.columns.index("text")
+    cut = _cut(each)
 
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
-        own, more = cut(table, marks)
+        own, rows = cut(table, marks)
         text = own.column("text").combine_chunks()
-        new = pa.array([t if c is None else c for t, c in zip(text.to_pylist(), more["cut"])], pa.string())
+        new = pa.array([t if c is None else c for t, (c,) in zip(text.to_pylist(), rows)], pa.string())
         return own.set_column(own.column_names.index("text"), "text", new).select(own.column_names)
 
     typed = _typed(docs)
     out = _marked(typed, finish, typed.schema).select(*docs.columns)
-    if length_column in docs.columns and docs.columns.index("text") == at:
+    if length_column in docs.columns:
         out = out.withColumn(length_column, F.coalesce(F.length("text"), F.col(length_column)).cast(docs.schema[length_column].dataType))
     return out

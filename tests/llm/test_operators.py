@@ -1,11 +1,13 @@
 """Each operator on the edge table against a brute-force version, and on an empty table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -13,7 +15,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 import xxhash  # noqa: E402
 
-from millrace.llm import media, packing, piece_codec, quality, repeats, shards, shared, simhash, token_files, toxicity  # noqa: E402
+from millrace.llm import media, packing, piece_codec, quality, repeats, run_length_index, shards, shared, simhash, token_files, toxicity  # noqa: E402
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LAST = 1 << 63
@@ -51,6 +53,49 @@ def test_repeats_common_anchor(edge, monkeypatch):
     assert Counter(tuple(r) for r in repeats.repeat_digests(edge).collect()) == repeats_brute(rows_of(edge))
 
 
+def test_repeats_in_small_groups_windows_and_indexes(edge, monkeypatch):
+    for name, value in (("GROUP_BYTES", 2000), ("WINDOW", 64), ("INDEX_BYTES", 500)):
+        monkeypatch.setattr(repeats, name, value)
+    small = edge.where("length(text) < 3000 or text is null")
+    assert Counter(tuple(r) for r in repeats.repeat_digests(small).collect()) == repeats_brute(rows_of(small))
+
+
+def test_repeats_come_from_the_index_alone(edge, monkeypatch):
+    table = pa.table({"doc_id": [1, 2, 3, 3], "text": ["x" * 20 + "passage that two documents share, word for word, here" + t for t in ("", "a", "", "b")], "__g": [0] * 4})
+    got = []
+    for silent in (False, True):
+        if silent:
+            monkeypatch.setattr(repeats.RunLengthIndex, "matches", lambda self, *_: (np.zeros(0, np.int64),) * 3)
+        shared = pa.Table.from_batches(list(repeats._share(repeats._send_anchors(2)(table).to_batches())))
+        sent = repeats._send_segments(2)(table, shared)
+        marks = pa.Table.from_batches(list(repeats._mark(sent.to_batches())), repeats._MARKS)
+        got.append([0 if g is None else int(g.sum()) for (g,) in repeats._cut(lambda _, gone: (gone,))(table, marks)[1]])
+    assert got == [[0, 73, 73, 73], [0, 0, 0, 0]]
+
+
+def test_index_matches_of_foreign_patterns():
+    rng = random.Random(3)
+    for trial in range(60):
+        letters = b"ab" if trial % 2 else b"abcdefgh "
+        length = rng.choice((8, 11, 50))
+
+        def draw(n):
+            return bytes(rng.choice(letters) for _ in range(rng.randint(0, n)))
+
+        base = [draw(90) for _ in range(rng.randint(0, 8))]
+        texts = base + [b[: rng.randint(0, len(b))] + draw(40) for b in base]
+        patterns = [*texts, *(rng.choice([*texts, b""])[rng.randint(0, 5) :] + draw(30) + rng.choice((b"", b"zz")) for _ in range(10))]
+        owners = [rng.randint(0, 9) for _ in texts]
+        first = {}
+        for t, o in zip(texts, owners):
+            for k in range(len(t) - length + 1):
+                first[t[k : k + length]] = min(first.get(t[k : k + length], 99), o)
+        want = sorted((i, k, first[p[k : k + length]]) for i, p in enumerate(patterns) for k in range(len(p) - length + 1) if p[k : k + length] in first)
+        (data, lens), (more, sizes) = ((np.frombuffer(b"".join(x), np.uint8), np.array([len(t) for t in x], np.int64)) for x in (texts, patterns))
+        index = run_length_index.RunLengthIndex(data, lens, np.array(owners, np.int64), length)
+        assert sorted(zip(*(x.tolist() for x in index.matches(more, sizes)))) == want
+
+
 def test_cut_repeats_keeps_columns_and_characters(edge):
     out = repeats.cut_repeats(edge)
     assert out.columns == edge.columns
