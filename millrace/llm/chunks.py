@@ -2,9 +2,9 @@
 
 A tokenizer whose pieces can't cross some boundary (white space, a whitespace marker) gives the same ids
 whether it sees a text whole or chunk by chunk.  The table keeps, for each distinct chunk, its payloads
-(ids, decimal ids, decoded bytes) in flat arrays, found by a 128-bit polynomial hash that numpy computes for all
-chunks of a step at once.  Entries and chunk lengths are bounded: a full table is emptied, a long chunk is encoded
-and not kept.  So memory doesn't grow with the corpus and nothing is left out.
+(ids, decimal ids, decoded bytes) in flat arrays, found by a key that is the chunk itself where it has up to 15 bytes, else 120 bits
+of a hash.  Entries and chunk lengths are bounded: a full table is emptied, a long chunk is encoded
+and not kept.  Long texts are cut at white space before.  So memory doesn't grow with the corpus and nothing is left out.
 """
 
 from __future__ import annotations
@@ -17,41 +17,34 @@ import numpy as np
 
 from .shared import ragged
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TAG = np.uint64(0xFF << 56)
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(size: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
-        p = np.full(size, m, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def chunk_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell chunks apart: of up to 15 bytes the bytes themselves and their number, of longer ones 120 bits of XXH3."""
+    lens = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(data) + 8, "<u8", padded.data, strides=(1,))
+    bits = np.uint64(8) * np.minimum(lens, 8).astype(np.uint64)
+    every = np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = words[starts] & np.where(bits == 64, every, (np.uint64(1) << (bits & np.uint64(63))) - np.uint64(1))
+    more = np.uint64(8) * np.clip(lens - 8, 0, 7).astype(np.uint64)
+    high = words[np.minimum(starts + 8, len(data))] & ((np.uint64(1) << more) - np.uint64(1)) | np.minimum(lens, 15).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(lens > 15)
+    if len(long):
+        from xxhash import xxh3_128_digest
 
+        view = memoryview(padded)
+        found = np.frombuffer(b"".join([xxh3_128_digest(view[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist())]), np.uint64).reshape(-1, 2)
+        low[long], high[long] = found[:, 0], found[:, 1] | _TAG
+    return low, high
 
-def powers(n: int, multiplier: int = _MULTIPLIERS[0]) -> tuple[np.ndarray, np.ndarray]:
-    """``multiplier ** i`` and its inverse modulo 2**64, for ``i < n``."""
-    size = 1 << max(20, (int(n) - 1).bit_length())
-    up, down = _powers(size, multiplier)
-    return up[:n], down[:n]
 
-
-def prefix_hash(data: np.ndarray, multiplier: int = _MULTIPLIERS[0]) -> np.ndarray:
-    """``P`` with ``(P[e] - P[s]) * multiplier ** -s`` a hash of ``data[s:e]`` that depends on its bytes only."""
-    up, _ = powers(len(data), multiplier)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
-    return out
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in _MULTIPLIERS:
-        p = prefix_hash(data, m)
-        _, down = powers(len(data) + 1, m)
-        out.append((p[ends] - p[starts]) * down[starts])
-    return out[0], out[1]
+def mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64 bits of a key, to sort and search by."""
+    x = (high ^ (high >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + low
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
 
 class ChunkTable:
@@ -62,7 +55,8 @@ class ChunkTable:
         self._empty()
 
     def _empty(self) -> None:
-        self.h1, self.h2, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hash, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
+        self.at = np.zeros(0, np.int64)
         self.n = 0
         self.values = [np.zeros(1 << 20, d) for d in self.dtypes]
         self.used = [0] * len(self.dtypes)
@@ -90,26 +84,26 @@ class ChunkTable:
         """The table's row of each chunk ``buf[starts[i]:ends[i]]``; valid until the next call."""
         if self.n > self.max_entries:
             self._empty()
-        h1, h2 = span_hashes(np.frombuffer(buf, np.uint8), starts, ends)
-        u, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
-        if (h2 != h2[first][inverse]).any():  # two chunks with the same first hash: tell them apart by both
-            key = np.stack([h1, h2], 1).view([("a", np.uint64), ("b", np.uint64)]).ravel()
+        low, high = chunk_keys(np.frombuffer(buf, np.uint8), starts, ends)
+        h = mixed(low, high)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if ((low != low[first][inverse]) | (high != high[first][inverse])).any():  # chunks that share the 64 bits: tell them apart by all
+            key = np.stack([low, high], 1).view([("a", np.uint64), ("b", np.uint64)]).ravel()
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        a, b = h1[first], h2[first]
+        h, low, high = h[first], low[first], high[first]
         row = np.full(len(first), -1, np.int64)
-        if len(self.h1):
-            at = np.minimum(np.searchsorted(self.h1, a), len(self.h1) - 1)
-            hit = (self.h1[at] == a) & (self.h2[at] == b)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            hit = (self.hash[at] == h) & (self.low[at] == low) & (self.high[at] == high)
             row[hit] = self.at[at[hit]]
         miss = np.flatnonzero(row < 0)
         if len(miss):
             s, e = starts[first[miss]].tolist(), ends[first[miss]].tolist()
             row[miss] = self._append(self.encode([buf[i:j] for i, j in zip(s, e)]))
             keep = miss[(ends - starts)[first[miss]] <= self.max_chunk]
-            order = np.argsort(a[keep], kind="stable")
-            keep = keep[order]
-            at = np.searchsorted(self.h1, a[keep])
-            self.h1, self.h2, self.at = (np.insert(x, at, y[keep]) for x, y in ((self.h1, a), (self.h2, b), (self.at, row)))
+            keep = keep[np.argsort(h[keep], kind="stable")]
+            at = np.searchsorted(self.hash, h[keep])
+            self.hash, self.low, self.high, self.at = (np.insert(x, at, y[keep]) for x, y in ((self.hash, h), (self.low, low), (self.high, high), (self.at, row)))
         return row[inverse]
 
     def gather(self, rows: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +185,33 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(last) + 1
 
 
+#: Bytes of a text beyond which it is cut at single spaces and worked on part by part.
+LONG = 2_000_000
+
+
+def parts_of(text: bytes, most: int) -> list[bytes]:
+    """The text cut at spaces between other bytes, which are left out, into parts of about ``most`` bytes; longer where no space is."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = text.find(b" ", at + most)
+        while cut > 0 and cut + 1 < len(text) and (text[cut - 1] in b" \t\r\n" or text[cut + 1] in b" \t\r\n"):
+            cut = text.find(b" ", cut + 1)
+        if cut < 0 or cut + 1 >= len(text):
+            break
+        out.append(text[at:cut])
+        at = cut + 1
+    return [*out, text[at:]]
+
+
 def encode_words(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, joined, and the number of ids of each: what the library gives for each whole text without special tokens."""
+    if max(map(len, texts), default=0) > LONG:
+        done = [[_encode_words([p], path) for p in parts_of(t, LONG // 2)] for t in texts]
+        return np.concatenate([ids for d in done for ids, _ in d]), np.array([sum(int(n[0]) for _, n in d) for d in done], np.int64)
+    return _encode_words(texts, path)
+
+
+def _encode_words(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     table = word_table(path)
     buf = b"\n".join(texts)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -266,6 +285,13 @@ def piece_table(path: str) -> ChunkTable:
 
 def encode_pieces(texts: list[bytes], path: str) -> list[tuple[int, bytes, bytes]]:
     """For each text: number of ids, decimal ids joined by commas, and the decoded text."""
+    if max(map(len, texts), default=0) > LONG:
+        done = [[_encode_pieces([p], path)[0] for p in parts_of(t, LONG // 2)] for t in texts]
+        return [(sum(n for n, _, _ in d), b",".join(i for _, i, _ in d), b" ".join(o for _, _, o in d)) for d in done]
+    return _encode_pieces(texts, path)
+
+
+def _encode_pieces(texts: list[bytes], path: str) -> list[tuple[int, bytes, bytes]]:
     table = piece_table(path)
     texts = [t.replace(MARK.encode(), b" ") for t in texts]
     lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))

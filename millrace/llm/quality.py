@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boost import Boosted, Isotonic, calibrated
-from .chunks import span_hashes
+from .chunks import chunk_keys, mixed
 from .shared import byte_list, materialize, steps
 from .toxicity import FOLDS, _fold, training_rows
 
@@ -32,6 +32,8 @@ _KIND[0x80:] = len(_KINDS)
 for _k, _chars in enumerate(_KINDS):
     _KIND[list(_chars)] = _k
 FEATURES = len(_KINDS) + 2 + 10
+#: Bytes whose kinds are counted at once.
+_SLICE = 1 << 20
 #: Sites up to this many are sent to all executors; more are joined by shuffle.
 MOST_SITES = 200_000
 
@@ -46,18 +48,23 @@ def surface_features(texts: list[bytes]) -> np.ndarray:
         return out
     lens = np.fromiter(map(len, texts), np.int64, m)
     begins = np.cumsum(lens + 1) - lens - 1
-    of_byte = np.repeat(np.arange(m), lens + 1)[: len(data)]
-    out[:, :kinds] = np.bincount(of_byte * kinds + _KIND[data], minlength=m * kinds).reshape(m, kinds) / np.maximum(lens, 1)[:, None]
+    counts = np.zeros(m * kinds, np.int64)
+    for a in range(0, len(data), _SLICE):
+        part = data[a : a + _SLICE]
+        i, j = np.searchsorted(begins, (a, a + len(part) - 1), "right") - 1
+        of = np.repeat(np.arange(i, j + 1), np.diff(np.append(np.maximum(begins[i : j + 1], a), a + len(part))))
+        counts += np.bincount(of * kinds + _KIND[part], minlength=m * kinds)
+    out[:, :kinds] = counts.reshape(m, kinds) / np.maximum(lens, 1)[:, None]
     space = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(starts):
         return out
     ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    of = of_byte[starts]
+    of = np.searchsorted(begins, starts, "right") - 1
     n = np.bincount(of, minlength=m).astype(float)
     some = np.maximum(n, 1)
     size = (ends - starts).astype(float)
-    h, _ = span_hashes(data, starts, ends)
+    h = mixed(*chunk_keys(data, starts, ends))
     same = np.concatenate([[False], (h[1:] == h[:-1]) & (of[1:] == of[:-1])])
     order = np.lexsort((h, of))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])])
@@ -74,8 +81,8 @@ def surface_features(texts: list[bytes]) -> np.ndarray:
     np.maximum.at(out[:, k + 7], of, size)
     line_from = np.unique(np.concatenate([begins[lens > 0], np.flatnonzero(data[:-1] == 10) + 1]))
     line_to = np.append(line_from[1:], len(data))
-    lh, _ = span_hashes(data, line_from, line_to)
-    line_of = of_byte[line_from]
+    lh = mixed(*chunk_keys(data, line_from, line_to))
+    line_of = np.searchsorted(begins, line_from, "right") - 1
     order = np.lexsort((lh, line_of))
     again = np.concatenate([[False], (lh[order][1:] == lh[order][:-1]) & (line_of[order][1:] == line_of[order][:-1])])
     out[:, k + 8] = np.bincount(line_of[order], again * (line_to - line_from)[order], m) / np.maximum(lens, 1)
