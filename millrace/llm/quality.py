@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 
 
 def with_evidence(docs: DataFrame, model: Model, column: str = "evidence") -> DataFrame:
-    """The documents with the classifier's probability; all columns are kept."""
+    """The documents with the classifier's probability, which replaces a column of its name; other columns are kept."""
+    docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +165,14 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, allowed: Column | None = None, most: int = 20_000) -> DataFrame:
-    """The documents with evidence, host_rate, path_rate and quality_score (0 to 1), which replace columns of these names; other columns are kept."""
+def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, allowed: Column | None = None, most: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+    """The documents with evidence, host_rate, path_rate and quality_score (0 to 1), which replace columns of these names; other columns are kept,
+    or those of ``keep``.  Evidence is computed once and written with what is kept."""
     model = fit(docs, labels, F.lit(True) if allowed is None else allowed, most=most)
-    scored = with_evidence(docs, model, "__evidence").withColumns({"__own_host": host.cast("string"), "__own_path": path.cast("string")})
-    narrow = with_evidence(docs.select(F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path")), model).select("host", "path", "evidence")
+    names = [c for c in docs.columns if keep is None or c in keep]
+    own = docs.withColumns({"__own_host": host.cast("string"), "__own_path": path.cast("string")})
+    scored = materialize(with_evidence(own, model, "__evidence").select(*names, "__own_host", "__own_path", "__evidence"), "evidence")
+    narrow = scored.select(F.col("__own_host").alias("host"), F.col("__own_path").alias("path"), F.col("__evidence").alias("evidence"))
     known = sites(narrow, model)
     known = known.select(*[F.col(c).alias(f"__{c}") for c in known.columns])  # no name of the documents' own columns
     if known.count() <= MOST_SITES:
@@ -179,11 +183,11 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     path_rate = (F.col("__sum") - e + F.col("__path_weight") * host_rate) / (F.col("__n") - 1 + F.col("__path_weight"))
     odds = _logit(e) + _logit(path_rate) - _logit(F.col("__rate"))
     new = {"evidence": e, "host_rate": host_rate, "path_rate": path_rate, "quality_score": 1 / (1 + F.exp(-odds))}
-    return joined.select(*[F.col(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    return joined.select(*[F.col(c) for c in names if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 20_000) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, quality_score, keep.  Host: source; path: source and language."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    scored = with_quality(own, labels, F.col("source"), F.col("lang"), most=most)
+    scored = with_quality(own, labels, F.col("source"), F.col("lang"), most=most, keep=["doc_id"])
     return scored.select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", (F.col("quality_score") >= threshold).cast("int").alias("keep"))

@@ -11,7 +11,7 @@ forests' edges go through distributed components.  Nothing is gathered on the dr
 
 Texts: A-Z lower-cased, words are runs other than bytes 0x20 and 0x09 to 0x0D; null and wordless texts have
 fingerprint zero, which links like any other; with fewer words than a shingle the whole sequence is one shingle.
-Rows with equal doc_id stay separate rows of one node; a row without doc_id gets its fingerprint and, unless rows with
+Rows with equal doc_id stay separate rows of one node: a document with several texts links their fingerprints; a row without doc_id gets its fingerprint and, unless rows with
 ids share it, a null component.  Other columns aren't read.
 """
 
@@ -150,7 +150,10 @@ def links(classes: DataFrame, buckets: int | None = None) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links)."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    roots = components(links(classes))
+    known = prints.where("doc_id is not null")
+    classes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    shared = known.join(several, "doc_id", "left_semi").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = components(links(classes).unionByName(shared))
     of = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -17,6 +17,7 @@ is that of the fixed list alone.  Scoring keeps every row and every column.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -86,6 +87,18 @@ def _table(lexicon: dict[str, float]) -> ChunkTable:
     return ChunkTable(encode, (np.float32,), max_entries=200_000)
 
 
+_KEPT: dict[str, ChunkTable] = {}
+
+
+def _table_of(lexicon: dict[str, float]) -> ChunkTable:
+    """The worker's table for a lexicon; one is kept, over tasks."""
+    name = hashlib.sha256(repr(sorted(lexicon.items())).encode()).hexdigest()
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = _table(lexicon)
+    return _KEPT[name]
+
+
 FEATURES = 21
 
 
@@ -102,7 +115,7 @@ def text_features(texts: list[bytes], table: ChunkTable) -> np.ndarray:
         return out
     ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
     rows = table.rows_of(buf, starts, ends)
-    w = table.values[0][: table.n * WIDE].reshape(-1, WIDE)[rows].astype(np.float64)
+    w = table.values[0][: table.n * WIDE].reshape(-1, WIDE)[rows]
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(lens + 1) - lens - 1
     of = np.searchsorted(begins, starts, "right") - 1
@@ -226,14 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     return Model(lexicons[-1], *calibrated(Boosted, x, y, k))
 
 
-
-
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """The documents with their score; all columns are kept."""
+    """The documents with their score, which replaces a column of its name; other columns are kept."""
+    docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model.lexicon)
+        table = _table_of(model.lexicon)
         for batch in batches:
             texts = byte_list(batch.column("text"))
             scores = [model.score(text_features(texts[a:b], table)) for a, b in steps(texts)]

@@ -15,7 +15,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 import xxhash  # noqa: E402
 
-from millrace.llm import media, packing, piece_codec, quality, repeats, run_length_index, shards, shared, simhash, token_files, toxicity  # noqa: E402
+from millrace.llm import components, media, packing, piece_codec, quality, repeats, run_length_index, shards, shared, simhash, token_files, toxicity  # noqa: E402
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LAST = 1 << 63
@@ -139,22 +139,36 @@ def test_piece_codec(edge):
     assert Counter((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in piece_codec.encode_column(edge, PIECES).collect()) == want
 
 
-def test_shards(edge):
-    got = shards.shard_by_bytes(edge, 5, rows_in_range=4).collect()
-    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows_of(edge))
+def check_shards(got, rows, shards):
+    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
-    slots = defaultdict(list)
+    slots, groups, size = defaultdict(list), defaultdict(list), [0] * shards
     for r in got:
         slots[r.shard].append(r.slot)
+        groups[r.text_crc32].append(r)
+        size[r.shard] += r.size
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share = sum(size) / shards
+    for g in groups.values():  # a group is whole, or says that it alone is more than a shard's share
+        assert {r.group_cut for r in g} == {len(g) > 1 and sum(r.size for r in g) > share}
+        assert g[0].group_cut or len({r.shard for r in g}) == 1
+    return size
+
+
+def test_shards(edge):
+    check_shards(shards.shard_by_bytes(edge, 5, rows_in_range=4).collect(), rows_of(edge), 5)
 
 
 def test_shards_near_equal_with_a_hot_group(spark):
-    docs = spark.range(6000).selectExpr("id doc_id", "case when id % 3 = 0 then repeat('hot ', 50) else concat('t', id, repeat(' w', cast(id % 97 as int))) end text")
-    size = defaultdict(int)
-    for r in shards.shard_by_bytes(docs, 12, rows_in_range=200).collect():
-        size[r.shard] += r.size
-    assert len(size) == 12 and max(size.values()) < 1.05 * min(size.values())
+    docs = spark.range(6000).selectExpr("id doc_id", "case when id % 3 = 0 then repeat('hot ', 50) when id % 10 = 1 then repeat(concat('warm', id % 70), 20) else concat('t', id, repeat(' w', cast(id % 97 as int))) end text")
+    size = check_shards(shards.shard_by_bytes(docs, 12, rows_in_range=200).collect(), rows_of(docs), 12)
+    assert max(size) < 1.05 * min(size)
+
+
+def test_shard_levels():
+    assert shards._levels([5.0, 1.0, 0.0], 3.0) == [0.0, 1.0, 2.0]
+    assert shards._levels([0.0, 0.0], 4.0) == [2.0, 2.0]
+    assert shards._levels([9.0, 1.0], 0.0) == [0.0, 0.0]
 
 
 def simhash_brute(text):
@@ -186,6 +200,23 @@ def test_simhash(edge):
             assert int(r.fingerprint, 16) in of[r.doc_id]
 
 
+def test_simhash_of_a_document_with_several_texts(spark):
+    texts = {"A": "alpha beta gamma delta epsilon", "B": "one two three four five six", "C": "quite another text of its own"}
+    rows = [(3, "A"), (7, "A"), (7, "B"), (9, "B"), (12, "C"), (None, "B")]
+    got = simhash.near_copies(spark.createDataFrame([(d, texts[t]) for d, t in rows], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(3, 3), (7, 3), (7, 3), (9, 3), (12, 12), (None, 3)])
+
+
+def test_components_of_hubs_paths_and_loops(spark):
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5000), (6001, 6000), (6000, 6001), (None, 3), (7, None)]
+    rng = random.Random(2)
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(200)}, **{1000 + i: 1000 for i in range(151)}, 6000: 6000, 6001: 6000}
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame(edges, "a long, b long"), most_rounds=1).collect()
+
+
 def test_simhash_links_are_those_of_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
