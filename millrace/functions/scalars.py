@@ -59,7 +59,8 @@ TEN_QUANTILES = (0.0, 0.01, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0)
 QUANTILE_NAMES = ("min", "p01", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "max")
 
 
-def quantiles(c: str, prefix: str = "", digits: int | None = None) -> list[Column]:
-    """Ten exact, interpolated quantiles as columns; null over no values."""
-    found = [F.percentile(c, F.lit(q)) for q in TEN_QUANTILES]
+def quantiles(c: str | Column, prefix: str = "", digits: int | None = None) -> list[Column]:
+    """Ten exact, interpolated quantiles as columns, of one buffer of values; null over no values."""
+    all_ten = F.percentile(c, F.array(*[F.lit(q) for q in TEN_QUANTILES]))
+    found = [F.element_at(all_ten, k + 1) for k in range(len(TEN_QUANTILES))]
     return [(f if digits is None else F.round(f, digits)).alias(prefix + n) for f, n in zip(found, QUANTILE_NAMES)]

@@ -18,7 +18,7 @@ def sampling_report(rows: DataFrame, keys: list[str], ts: str = "ts_ms", burst_m
     return rows.withColumn("d", step).groupBy(*keys).agg(
         F.count("*").alias("row_count"), F.min(ts).alias("first_ms"), F.max(ts).alias("last_ms"), span.alias("duration_seconds"),
         F.try_divide(F.count("*").cast("double"), span).alias("rate_hz"), F.avg(positive).alias("delta_mean"), F.stddev_samp(positive).alias("delta_std"),
-        *[F.percentile(positive, F.lit(q)).alias(f"delta_{n}") for q, n in zip(TEN_QUANTILES, QUANTILE_NAMES)],
+        *quantiles(positive, "delta_"),
         F.count_if(F.col("d") == 0).alias("zero_deltas"), F.count_if(F.col("d") < 0).alias("negative_deltas"), F.count_if((F.col("d") > 0) & (F.col("d") <= burst_ms)).alias("burst_deltas"),
     )
 
@@ -99,10 +99,53 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], most: int)
     return temporal_quantiles(rows, keys, order, most, truncate=True)
 
 
-def feature_diagnostics(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature: missing share, variance and ten quantiles."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("r")).select("r.*")
-    return long.groupBy("feature").agg((F.count_if(F.col("v").isNull()) / F.count("*")).alias("missing_fraction"), F.var_samp("v").alias("variance"), *quantiles("v"))
+def exact_quantiles(long: DataFrame, name: str, value: str, cells: int = 1024) -> DataFrame:
+    """``name`` and ten exact, interpolated quantiles of its values, by rank selection: no task sorts a whole column.
+
+    A histogram of equal cells between each name's ends (one row a cell reaches the driver) tells which cells hold the ranks that
+    the quantiles need; only the distinct values of those cells are sorted.  Nulls and NaN are left out.
+    """
+    known = long.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(name, value).agg(F.count("*").alias("__n"))
+    ends = known.groupBy(name).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__n").alias("__all"))
+    width = F.col("__high") - F.col("__low")
+    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__low")) / width * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+    placed = known.join(F.broadcast(ends), name).withColumn("__cell", cell)  # a row a name
+    counts = placed.groupBy(name, "__cell").agg(F.sum("__n").alias("__rows"), F.max("__all").alias("__total")).collect()
+    before: dict = {}
+    wanted = []  # name, cell, rank within the cell, quantile, weight
+    for r in sorted(counts, key=lambda r: (r[name], r["__cell"])):
+        at = before.get(r[name], 0)
+        for q, label in zip(TEN_QUANTILES, QUANTILE_NAMES):
+            place = q * (r["__total"] - 1)
+            low = int(place)
+            for rank, weight in ((low, 1 - (place - low)), (low + 1, place - low)):
+                if weight and at <= rank < at + r["__rows"]:
+                    wanted.append((r[name], r["__cell"], rank - at, label, weight))
+        before[r[name]] = at + r["__rows"]
+    ranks = F.broadcast(long.sparkSession.createDataFrame(wanted, f"{name} {dict(long.dtypes)[name]}, __cell int, __rank long, __label string, __weight double"))  # twenty rows a name
+    order = Window.partitionBy(name, "__cell").orderBy(value)
+    needed = placed.join(ranks.select(name, "__cell").distinct(), [name, "__cell"], "left_semi").withColumn("__to", F.sum("__n").over(order))
+    found = needed.join(ranks, [name, "__cell"]).where((F.col("__rank") < F.col("__to")) & (F.col("__rank") >= F.col("__to") - F.col("__n")))
+    parts = found.groupBy(name, "__label").agg(F.sum(F.col(value) * F.col("__weight")).alias("__v"))
+    return parts.groupBy(name).agg(*[F.max(F.when(F.col("__label") == n, F.col("__v"))).alias(n) for n in QUANTILE_NAMES])
+
+
+def _long(rows: DataFrame, features: list[str], *keep: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
+    return rows.select(*keep, F.explode(pairs).alias("r")).select(*keep, "r.*")
+
+
+def feature_diagnostics(rows: DataFrame, features: list[str], chosen: list[str] | None = None) -> DataFrame:
+    """Per feature: missing share, variance, ten quantiles, and (with ``chosen``) the greatest size of its correlation with another chosen one."""
+    plain = [F.struct(F.lit(f).alias("feature"), (F.count_if(F.col(f).isNull()) / F.count("*")).alias("missing_fraction"), F.var_samp(F.col(f).cast("double")).alias("variance")) for f in features]
+    one = rows.agg(F.array(*plain).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    out = one.join(F.broadcast(exact_quantiles(_long(rows, features), "feature", "v")), "feature", "left")  # a row a feature
+    if chosen:
+        pairs = correlations(rows, sorted({*features, *chosen}))
+        both = pairs.select(F.col("feature_a").alias("feature"), F.col("feature_b").alias("other"), "pearson").unionByName(pairs.select(F.col("feature_b").alias("feature"), F.col("feature_a").alias("other"), "pearson"))
+        top = both.where(F.col("other").isin(*chosen)).groupBy("feature").agg(F.max(F.abs("pearson")).alias("max_abs_correlation"))
+        out = out.join(F.broadcast(top), "feature", "left")
+    return out
 
 
 def correlations(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -114,7 +157,7 @@ def correlations(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def group_shift(rows: DataFrame, features: list[str], group: str) -> DataFrame:
     """Per feature: range of the groups' medians, absolute and relative to the mean's size (1e-12 at least)."""
-    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("r")).select(group, "r.*")
+    long = _long(rows, features, group)
     medians = long.groupBy("feature", group).agg(F.median("v").alias("m")).groupBy("feature").agg((F.max("m") - F.min("m")).alias("median_range"))
     means = long.groupBy("feature").agg(F.avg("v").alias("mean"))
     return medians.join(means, "feature").select("feature", "median_range", (F.col("median_range") / F.greatest(F.abs("mean"), F.lit(1e-12))).alias("relative_range"))
@@ -128,6 +171,27 @@ def interval_summary(gap_rows: DataFrame, keys: list[str], gap: str = "gap") ->
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.median(gap).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"))
 
 
+def time_profile(rows: DataFrame, keys: list[str], series: str, ts: str, line: str, digest: str) -> DataFrame:
+    """Per group of rows in line order: rows, repeats, ends, and the differences of consecutive times of a series: their number, median,
+    lower p10 and p90 (by position), how many are zero, and how many fall.  A row without a time has no difference."""
+    order = Window.partitionBy(*keys, series).orderBy(line)
+    timed = rows.withColumn("__d", F.when(F.col(ts).isNotNull(), F.col(ts) - F.last(ts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    whole = timed.groupBy(*keys).agg(
+        F.count("*").alias("record_count"), (F.count("*") - F.count_distinct(digest)).alias("duplicate_rows"), F.count_if(F.col("__d") == 0).alias("repeated_times"), F.count_if(F.col("__d") < 0).alias("regressions"),
+        F.min(ts).alias("first_ms"), F.max(ts).alias("last_ms"),
+    )
+    gaps = interval_summary(timed.where("__d is not null"), keys, "__d").select(*keys, F.col("n").alias("gap_count"), F.col("median").alias("gap_median"), F.col("p10").alias("gap_p10"), F.col("p90").alias("gap_p90"))
+    return whole.join(gaps, keys, "left")
+
+
+def column_profile(rows: DataFrame, keys: list[str], fields: str, missing: Column, numeric: bool = True) -> DataFrame:
+    """Per group and field of the map column ``fields``: rows, missing ones, and the ends of what reads as a number."""
+    each = rows.select(*keys, F.explode(fields).alias("column", "v"))
+    number = F.when(~missing, F.col("v").try_cast("double"))
+    out = [F.count("*").alias("row_count"), F.count_if(missing).alias("missing_count")]
+    return each.groupBy(*keys, "column").agg(*out, *([F.min(number).alias("minimum"), F.max(number).alias("maximum")] if numeric else []))
+
+
 def raw_profile(rows: DataFrame, table: list[str], resource: str, ts: str, line: str, digest: str) -> DataFrame:
     """Per file and table: rows, exact duplicates, rows that differ from the first at their resource and time, falls in line order, ends."""
     at_ts = Window.partitionBy(*table, resource, ts).orderBy(line)

@@ -44,7 +44,7 @@ def class_sample(rows: DataFrame, split: str, label: str, station: str, order: l
 def bin_sample(rows: DataFrame, station: str, target: str, identity: str, bins: int, seed: int = 0) -> DataFrame:
     """One row of each of ``bins`` equal-frequency bins of the target, for each station: that of the least seeded hash."""
     binned = rows.withColumn("bin", F.ntile(bins).over(Window.partitionBy(station).orderBy(target, identity)))
-    draw = Window.partitionBy(station, "bin").orderBy(F.xxhash64(identity, F.lit(seed)), identity)
+    draw = Window.partitionBy(station, "bin").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(identity).cast("string"))), identity)
     return binned.withColumn("__r", F.row_number().over(draw)).where("__r = 1").drop("__r")
 
 

@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 #: Order of the bits in a state vector.
 BITS = ("Busy", "RFIDTagPresent", "Done", "StationEntryxBG5", "ReadyAtStationxBG1", "StationExitxBG6")
-#: Fixed values, first match wins: bits that must hold (upper: set, lower: clear), by first letters b r d e y x.
-GENERIC = (("B", "processing"), ("RY", "waiting_carrier_ready"), ("Ry", "waiting_carrier"), ("rEX", "transfer"), ("rE", "entering"), ("rX", "exiting"), ("rD", "idle_ready"))
-STATION_RULES = {50: (("B", "processing"), ("bRD", "waiting_carrier"), ("brD", "idle_ready"))}
+#: Fixed values, first match wins: (bits that are set, bits that are clear, state).
+GENERIC = (
+    (("Busy",), (), "processing"),
+    (("RFIDTagPresent", "ReadyAtStationxBG1"), (), "waiting_carrier_ready"),
+    (("RFIDTagPresent",), ("ReadyAtStationxBG1",), "waiting_carrier"),
+    (("StationEntryxBG5", "StationExitxBG6"), ("RFIDTagPresent",), "transfer"),
+    (("StationEntryxBG5",), ("RFIDTagPresent",), "entering"),
+    (("StationExitxBG6",), ("RFIDTagPresent",), "exiting"),
+    (("Done",), ("RFIDTagPresent",), "idle_ready"),
+)
+#: Rules of single stations, in place of the generic ones.
+STATION_RULES = {
+    50: (
+        (("Busy",), (), "processing"),
+        (("RFIDTagPresent", "Done"), ("Busy",), "waiting_carrier"),
+        (("Done",), ("Busy", "RFIDTagPresent"), "idle_ready"),
+    )
+}
 #: Whole vectors of a station that come before any rule.
 OVERRIDES = {70: (("001001", "idle_ready"),)}
 UNKNOWN = "unknown"
@@ -24,10 +39,12 @@ CLASS_NUMBER = {"idle_ready": 0, "waiting_carrier": 1, "transfer_transient": 2,
 
 def _rules(bits: dict[str, Column], rules: tuple, otherwise: str = UNKNOWN) -> Column:
     out = None
-    for need, state in rules:
+    for set_bits, clear_bits, state in rules:
         test = F.lit(True)
-        for c in need:
-            test = test & (bits[c.lower()] if c.isupper() else ~bits[c.lower()])
+        for c in set_bits:
+            test = test & bits[c]
+        for c in clear_bits:
+            test = test & ~bits[c]
         out = F.when(test, state) if out is None else out.when(test, state)
     return out.otherwise(otherwise)
 
@@ -35,7 +52,7 @@ def _rules(bits: dict[str, Column], rules: tuple, otherwise: str = UNKNOWN) -> C
 def classify(station: Column, bits: list[Column]) -> Column:
     """State of a row; a null bit is clear.  A station's overrides come first, then its own rules or the generic ones."""
     clear = [F.coalesce(b.cast("boolean"), F.lit(False)) for b in bits]
-    named = dict(zip("brdeyx", clear))
+    named = dict(zip(BITS, clear))
     vector = F.concat(*[F.when(b, "1").otherwise("0") for b in clear])
     out = _rules(named, GENERIC)
     for s, rules in STATION_RULES.items():

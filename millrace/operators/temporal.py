@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 
 def _known(keys: list[str]) -> Column:
     out = F.lit(True)
@@ -80,33 +82,79 @@ def lookback(triggers: DataFrame, samples: DataFrame, keys: list[str], trigger_t
     """For each trigger and scale, mean and standard deviation of each value over [trigger - scale, trigger], and the sample count.
 
     Both ends count; the count has rows with null values too; a mean over none is null, a deviation over fewer than
-    two is 0; a trigger without any sample of its keys gets nulls throughout.  One shuffle for all scales.
+    two is 0; a trigger without any sample of its keys gets nulls throughout.  Equal triggers stay as many rows.
+
+    For each scale the time line is cut into cells as long as the frame, so a frame is the end of one cell and the beginning of the next.  Counts, means and
+    squared deviations run forwards and backwards within cells and are merged for each trigger: the work doesn't grow with the frames' length, and
+    no difference of large sums is taken.  One shuffle of the samples for all scales.
     """
     payload = F.struct(*[F.col(c) for c in triggers.columns])
-    told = samples.where(_known(keys)).select(*keys, F.lit(0).alias("__s"), F.col(sample_ts).cast("long").alias("__t"), F.lit(0).alias("__side"), *[F.col(v).cast("double").alias(f"__{v}") for v in values])
-    asked = triggers.select(*keys, _salt(triggers, _known(keys), trigger_ts).alias("__s"), F.col(trigger_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), payload.alias("__l"))
-    both = told.unionByName(asked, allowMissingColumns=True)
-    group = Window.partitionBy(*keys, "__s")
-    out: dict[str, Column] = {"__any": F.max(F.when(F.col("__side") == 0, 1)).over(group)}
+    told = samples.where(_known(keys)).select(*keys, F.lit(0).alias("__s"), F.col(sample_ts).cast("long").alias("__t"), F.lit(1).alias("__side"), *[F.col(v).cast("double").alias(f"__{v}") for v in values])
+    at = F.col(trigger_ts).cast("long")
+    probes = F.array(F.struct(at.alias("t"), F.lit(2).alias("side"), F.lit(-1).alias("scale")), *[F.struct((at - 1000 * s).alias("t"), F.lit(0).alias("side"), F.lit(s).alias("scale")) for s in seconds])
+    asked = triggers.select(*keys, _salt(triggers, _known(keys), trigger_ts).alias("__s"), payload.alias("__l"), F.explode(probes).alias("__p"))
+    asked = asked.select(*keys, "__s", F.col("__p.t").alias("__t"), F.col("__p.side").alias("__side"), F.col("__p.scale").alias("__scale"), "__l")
+    seen = told.unionByName(asked, allowMissingColumns=True).withColumn("__any", F.max(F.when(F.col("__side") == 1, 1)).over(Window.partitionBy(*keys, "__s")))
+    ends, begins = {}, {}
     for s in seconds:
-        frame = group.orderBy("__t").rangeBetween(-1000 * s, 0)
+        cell = Window.partitionBy(*keys, "__s", F.floor(F.col("__t") / (1000 * s)))
+        for found, order in ((ends, cell.orderBy("__t", "__side")), (begins, cell.orderBy(F.desc("__t"), F.desc("__side")))):
+            frame = order.rowsBetween(Window.unboundedPreceding, 0)
+            parts = [F.count_if(F.col("__side") == 1).over(frame).alias("rows")]
+            for v in values:
+                n = F.count(f"__{v}").over(frame)
+                parts += [n.alias(f"n_{v}"), F.avg(f"__{v}").over(frame).alias(f"mean_{v}"), (F.var_pop(f"__{v}").over(frame) * n).alias(f"m2_{v}")]
+            found[s] = F.struct(*parts)
+    seen = seen.withColumns({**{f"__e{s}": c for s, c in ends.items()}, **{f"__b{s}": c for s, c in begins.items()}}).where("__scale is not null")
+    # equal triggers have equal frames: one group, as many rows as there are
+    is_end = F.col("__scale") == -1
+    taken = [F.max(F.when(is_end, F.col("__any"))).alias("__any"), F.count_if(is_end).alias("__copies")]
+    for s in seconds:
+        taken += [F.max(F.when(is_end, F.col(f"__e{s}"))).alias(f"__e{s}"), F.max(F.when((F.col("__scale") == s) & F.col("__t").isNotNull(), F.col(f"__b{s}"))).alias(f"__b{s}")]
+    one = seen.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], "__s", "__l").agg(*taken)
+    out: dict[str, Column] = {}
+    for s in seconds:
+        part = lambda side, c, s=s: F.coalesce(F.col(f"__{side}{s}.{c}"), F.lit(0))
         for v in values:
-            out[f"{v}_{s}s_mean"] = F.avg(f"__{v}").over(frame)
-            out[f"{v}_{s}s_std"] = F.coalesce(F.stddev_samp(f"__{v}").over(frame), F.lit(0.0))
-        out[f"n_samples_{s}s"] = F.sum(F.when(F.col("__side") == 0, 1).otherwise(0)).over(frame).cast("long")
-    names = [n for n in out if n != "__any"]
-    found = both.withColumns(out).where("__side = 1")
-    return found.select("__l.*", *[F.when(F.col("__any") == 1, F.col(n)).alias(n) for n in names])
+            n1, n2, m1, m2 = part("b", f"n_{v}"), part("e", f"n_{v}"), part("b", f"mean_{v}"), part("e", f"mean_{v}")
+            n = n1 + n2
+            mean = F.when(n1 == 0, m2).when(n2 == 0, m1).otherwise(m1 + (m2 - m1) * n2 / n)
+            spread = part("b", f"m2_{v}") + part("e", f"m2_{v}") + F.when((n1 > 0) & (n2 > 0), (m2 - m1) * (m2 - m1) * n1 * n2 / n).otherwise(0.0)
+            out[f"{v}_{s}s_mean"] = F.when(n > 0, mean)
+            out[f"{v}_{s}s_std"] = F.when(n > 1, F.sqrt(spread / (n - 1))).otherwise(0.0)
+        out[f"n_samples_{s}s"] = (part("b", "rows") + part("e", "rows")).cast("long")
+    many = one.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return many.select("__l.*", *[F.when(F.col("__any") == 1, c).alias(n) for n, c in out.items()])
+
+
+#: Intervals up to this many, and this many of one key, are sent to all tasks.
+MOST_INTERVALS, MOST_OF_KEY = 100_000, 1_000
 
 
 def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, first: str, last: str, columns: dict[str, str]) -> DataFrame:
     """Each point with the columns of the interval of its keys that holds it, both ends included; else nulls.
 
-    Intervals of a key must be disjoint.  The candidate is the interval that began last, so each point meets one.
+    Intervals of a key must be disjoint, so each point meets one.  Intervals are written once; if they are few (and don't even touch) they
+    are broadcast and the points aren't shuffled; else the candidate is the interval that began last, found by one window.
     """
-    found = asof_backward(points, intervals.withColumn("__last", F.col(last)), keys, ts, first, {**columns, "__last": "__last"}, right_ts_as="__first")
+    spark = points.sparkSession
+    path = sinks.scratch(spark, "intervals")
+    own = intervals.where(_known(keys)).select(*keys, F.col(first).cast("long").alias("__first"), F.col(last).cast("long").alias("__last"), *[F.col(c).alias(f"__v_{n}") for c, n in columns.items()])
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
+    order = Window.partitionBy(*keys).orderBy("__first", "__last")
+    checked = own.withColumns({"__touch": F.lag("__last").over(order) >= F.col("__first"), "__of": F.count("*").over(Window.partitionBy(*keys))})
+    n, most, touch = checked.agg(F.count("*"), F.max("__of"), F.max("__touch")).first()
+    if n <= MOST_INTERVALS and (most or 0) <= MOST_OF_KEY and not touch:
+        small = own.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first", "__last", *[f"__v_{v}" for v in columns.values()])
+        inside = F.col(ts).between(F.col("__first"), F.col("__last"))
+        for k in keys:
+            inside = inside & (F.col(k) == F.col(f"__k_{k}"))
+        found = points.join(F.broadcast(small), inside, "left")
+        return found.select(*[points[c] for c in points.columns], *[F.col(f"__v_{v}").alias(v) for v in columns.values()])
+    found = asof_backward(points, own, keys, ts, "__first", {**{f"__v_{v}": v for v in columns.values()}, "__last": "__last"}, right_ts_as="__first")
     inside = F.coalesce(F.col(ts) <= F.col("__last"), F.lit(False))
-    return found.select(*[F.col(c) for c in points.columns], *[F.when(inside, F.col(n)).alias(n) for n in columns.values()])
+    return found.select(*[F.col(c) for c in points.columns], *[F.when(inside, F.col(v)).alias(v) for v in columns.values()])
 
 
 def count_marks(rows: DataFrame, marks: DataFrame, keys: list[str], ts: str, mark_ts: str, inclusive: bool, name: str) -> DataFrame:

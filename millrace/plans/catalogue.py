@@ -22,12 +22,11 @@ from ..operators import sessions as se
 from ..operators import states as st
 from ..operators import temporal as tp
 from ..operators import validate as va
-from ..sources import dumps, sinks
+from ..sources import dumps, files, sinks
 
 KEYS = ["experiment_id", "station_id"]
 SESSION = [*KEYS, "session_id"]
 Q, RATIO = 0.95, 1.2
-WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -441,6 +440,37 @@ def invariant_violations(spark, sf_dir):
     return va.violations(fused(spark, sf_dir), va.fused_rules())
 
 
+AUDITS = (
+    *va.FUSED_INVARIANTS, "matched_names_an_operation", "unmatched_age_is_null", "matched_age_is_not_negative", "matched_operation_is_not_later", "outside_sessions_is_unmatched", "outside_sessions_has_no_state", "matched_flag_is_known",
+    "operation_of_same_experiment", "operation_of_same_station", "operation_of_same_session", "operation_exists", "operation_time_is_its_own", "readings_are_unique", "every_reading_is_fused", "every_fused_row_is_a_reading", "operations_are_unique",
+    "every_operation_has_a_session", "intervals_are_ordered", "matched_readings_lie_in_their_interval", "silences_have_support", "silent_gaps_end_at_operations", "silent_gaps_hold_no_operation", "readings_in_silent_gaps_have_no_session",
+    "readings_in_silent_gaps_have_no_state", "type_of_join_matched", "type_of_join_ambiguous", "type_of_Busy", "type_of_plc_timestamp_epoch_ms", "type_of_operation_row_id", "no_column_like_^inferred_state$", "no_column_like_^(feature|window)_", "no_column_like_possible_reset",
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(0 AS BIGINT))" for n in AUDITS) + ") AS t(\"check\", violations)")
+def audit_violations(spark, sf_dir):
+    """Every audit over readings, machine rows and sessions that local and shared boundaries give; tables that many audits read are written once."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = sinks.scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    machine, readings = plc(spark, sf_dir), power(spark, sf_dir)
+    g = plc_gaps(spark, sf_dir)
+    found, shared = (written(x, "silences") for x in se.silences(machine))
+    both, _ = se.boundary_union(boundaries(spark, sf_dir), shared)
+    owned = written(se.assign_sessions(machine, both), "operation")
+    intervals = written(se.intervals(owned), "session-intervals")
+    columns = {"event_id": "operation_row_id", **{b: b for b in st.BITS}}
+    joined = written(ds.fuse(se.sessions_of(readings.drop(*st.BITS), intervals), owned, SESSION, "ts_ms", columns), "fused")
+    support = g.join(shared.withColumnRenamed("boundary", "start"), [*KEYS, "start"])
+    support = written(support, "support")
+    kinds = {"join_matched": "boolean", "join_ambiguous": "boolean", "Busy": "boolean", "plc_timestamp_epoch_ms": "bigint", "operation_row_id": "bigint"}
+    return va.audit(joined, readings, owned, intervals, support, found, "event_id", "ts_ms", st.BITS, kinds, ("^inferred_state$", "^(feature|window)_", "possible_reset"))
+
+
 # ---- snapshots of lineitem: one with line numbers up to 3, one with all
 
 SNAP_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -485,11 +515,11 @@ def snapshot_overlap_pairs(spark, sf_dir):
     return cn.snapshot_overlap(cn.identified(both, SNAP_COLUMNS, F.lit("exp"), F.lit("lineitem")), ["l_returnflag"])
 
 
-@query("""WITH a AS (SELECT o_orderstatus, o_custkey, count(*) AS l FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), b AS (SELECT o_orderstatus, o_custkey, count(*) AS r FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL), j AS (SELECT o_orderstatus, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM a FULL JOIN b USING (o_orderstatus, o_custkey))
+@query("""WITH a AS (SELECT o_orderstatus, o_custkey, count(*) AS l FROM orders GROUP BY ALL), b AS (SELECT o_orderstatus, o_custkey, count(*) AS r FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL), j AS (SELECT o_orderstatus, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM a FULL JOIN b USING (o_orderstatus, o_custkey))
 SELECT o_orderstatus, CAST(sum(l) AS BIGINT) AS left_rows, CAST(sum(r) AS BIGINT) AS right_rows, CAST(sum(greatest(l - r, 0)) AS BIGINT) AS only_in_left, CAST(sum(greatest(r - l, 0)) AS BIGINT) AS only_in_right, CASE WHEN sum(greatest(l - r, 0)) = 0 AND sum(greatest(r - l, 0)) = 0 THEN 'schema_name_only' ELSE 'content_or_schema_difference' END AS difference_class FROM j GROUP BY ALL""")
 def multiset_diff_counts(spark, sf_dir):
     o = cn.identified(table(spark, sf_dir, "orders"), ["o_custkey"], F.lit("exp"), F.col("o_orderstatus"))
-    return cn.multiset_difference(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 5 <> 0"), ["o_orderstatus"])
+    return cn.multiset_difference(o, o.where("o_orderkey % 5 <> 0"), ["o_orderstatus"])
 
 
 @query(EVENTS + """, w AS (SELECT *, lag(ts_ms) OVER (PARTITION BY experiment_id, station_id ORDER BY reverse(CAST(event_id AS VARCHAR)), event_id) > ts_ms AS f FROM e)
@@ -549,7 +579,7 @@ def ntile_bin_bounds(spark, sf_dir):
     return b.groupBy("o_orderpriority", "bin").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
 
 
-@query()
+@query("WITH b AS (SELECT o_orderpriority, o_orderkey, ntile(45) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS bin FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, bin ORDER BY md5('20260915:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM b) SELECT o_orderpriority, CAST(bin AS INTEGER) AS bin, o_orderkey FROM r WHERE k = 1")
 def ntile_bin_sample(spark, sf_dir):
     return sm.bin_sample(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey", 45, 20260915).select("o_orderpriority", "bin", "o_orderkey")
 
@@ -632,7 +662,7 @@ def _vectors(spark, sf_dir, dims: int):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    return ml.clusters(_vectors(spark, sf_dir, 8), [f"x{k}" for k in range(8)], 4, 20260915).groupBy("cluster").agg(F.count("*").alias("n"))
+    return ml.clusters(_vectors(spark, sf_dir, 64), [f"x{k}" for k in range(64)], 4, 20260915).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -644,12 +674,14 @@ def quantum_gram(spark, sf_dir):
 
 @query()
 def idle_regression(spark, sf_dir):
-    """Errors of a random forest on idle durations, by split (the weeks in order)."""
+    """Errors of a random forest on idle durations, by split: the weeks in order, the last two for validation and test."""
     rows = idle_rows(spark, sf_dir).withColumn("label", F.col("target_log1p"))
+    weeks = [r[0] for r in events(spark, sf_dir).select("experiment_id").where("experiment_id is not null").distinct().orderBy("experiment_id").collect()]  # a row a week
+    splits = {w: "test" if k == len(weeks) - 1 else "validation" if k == len(weeks) - 2 else "train" for k, w in enumerate(weeks)}
     names = ["value_3600s_mean", "value_86400s_mean", "n_samples_3600s", "cycles_before", "hour_of_day"]
-    rows = sm.split_by(rows, "experiment_id", {w: s for w, s in zip(WEEKS, ("train", "train", "train", "validation", "test"))}, "drop").na.drop(subset=[*names, "label"])
+    rows = sm.split_by(rows, "experiment_id", splits).na.drop(subset=[*names, "label"])
     x = ml.assembled(rows.select(*SESSION, "split", "label", *names), names).persist()  # a learner reads it many times
-    model = ml.regressors(20260915, trees=20)["random_forest"].fit(x.where("split = 'train'"))
+    model = ml.regressors(20260915)["random_forest"].fit(x.where("split = 'train'"))
     return mt.regression_metrics(model.transform(x), ["split"], F.col("label"), F.col("prediction"))
 
 
@@ -674,3 +706,64 @@ def power_outside_sessions(spark, sf_dir):
 @query(SESSIONS + "SELECT session_id, count(*) AS n FROM fu WHERE join_matched GROUP BY ALL ORDER BY n DESC, session_id LIMIT 5")
 def top_sessions(spark, sf_dir):
     return fused(spark, sf_dir).where("join_matched").groupBy("session_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "session_id").limit(5)
+
+
+# ---- profiles of files written from the tables
+
+
+def _lines(spark, rows, path: str):
+    """The text rows (line_no, value) written to one file and read back."""
+    rows.orderBy("line_no").coalesce(1).select("value").write.text(path)
+    read = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    return read.select(F.lit("export.txt").alias("source_file"), "line_no", "value")
+
+
+DAY_ORDERS = "o AS (SELECT o_orderkey, o_orderpriority, o_orderdate, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus ELSE '' END AS status FROM orders)"
+PROFILE = """g AS (SELECT d FROM (SELECT ts - lag(ts) OVER (PARTITION BY series ORDER BY line_no) AS d FROM r) WHERE d IS NOT NULL), k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM g)"""
+
+
+@query(f"""WITH {DAY_ORDERS}, r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ts, o_orderpriority AS series FROM o), {PROFILE}
+SELECT (SELECT count(*) FROM o) + 1 AS line_count, (SELECT count(*) FROM r) AS record_count, CAST(0 AS BIGINT) AS duplicate_rows, (SELECT count(*) FROM g WHERE d = 0) AS repeated_times, (SELECT count(*) FROM g WHERE d < 0) AS regressions, (SELECT min(ts) FROM r) AS first_ms, (SELECT max(ts) FROM r) AS last_ms,
+  (SELECT count(*) FROM g) AS gap_count, (SELECT median(d) FROM g) AS gap_median, (SELECT max(d) FROM k WHERE i = floor((n - 1) * 0.1)) AS gap_p10, (SELECT max(d) FROM k WHERE i = floor((n - 1) * 0.9)) AS gap_p90, (SELECT count(*) FROM o WHERE status = '') AS missing_status""")
+def export_profile(spark, sf_dir):
+    """Orders written as a delimited export, read back and profiled."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).otherwise("")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_00:00:00.000 | "), F.col("o_orderpriority"), F.lit(" | "), F.col("o_orderkey").cast("string"), F.lit(" | "), status)
+    rows = o.select(F.col("o_orderkey").alias("line_no"), text.alias("value")).unionByName(spark.createDataFrame([(-1, "DateAndTime | series | id | status")], "line_no long, value string"))
+    profile, columns = files.export_profile(_lines(spark, rows, sinks.scratch(spark, "export")))
+    missing = columns.where("column = 'status'").select("source_file", F.col("missing_count").alias("missing_status"))
+    return profile.join(missing, "source_file").drop("source_file")
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) AS line_no, event_id, epoch_us(ts) // 1000 AS ts, event_type AS series FROM events), """ + PROFILE + """
+SELECT (SELECT count(*) FROM r) AS line_count, (SELECT count(*) FROM r) AS record_count, (SELECT count(*) FROM r) - (SELECT count(*) FROM (SELECT DISTINCT ts, series FROM r)) AS duplicate_rows, (SELECT count(*) FROM g WHERE d = 0) AS repeated_times, (SELECT count(*) FROM g WHERE d < 0) AS regressions, (SELECT min(ts) FROM r) AS first_ms,
+  (SELECT max(ts) FROM r) AS last_ms, (SELECT count(*) FROM g) AS gap_count, (SELECT median(d) FROM g) AS gap_median, (SELECT max(d) FROM k WHERE i = floor((n - 1) * 0.1)) AS gap_p10, (SELECT max(d) FROM k WHERE i = floor((n - 1) * 0.9)) AS gap_p90, 'timestampms,topic,user,value' AS keys, 'JSON Lines' AS delimiter""")
+def log_profile(spark, sf_dir):
+    """Events written as JSON lines, read back and profiled."""
+    e = table(spark, sf_dir, "events")
+    body = F.struct(epoch_ms(F.col("ts")).alias("timestampms"), F.col("event_type").alias("topic"), F.col("user_id").alias("user"), "value")
+    profile, _ = files.log_profile(_lines(spark, e.select(F.col("event_id").alias("line_no"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")), sinks.scratch(spark, "log")))
+    return profile.withColumn("keys", F.array_join("keys", ",")).drop("source_file")
+
+
+@query("SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE n <= 9 OR k IN (SELECT CAST(floor(i * ((n - 1) / 8)) AS BIGINT) FROM range(9) AS t(i))")
+def evenly_spaced_rows(spark, sf_dir):
+    return dg.evenly_spaced(table(spark, sf_dir, "customer"), ["c_mktsegment"], ["c_custkey"], 9).select("c_mktsegment", "c_custkey")
+
+
+@query("SELECT name AS path, CASE WHEN lower(name) LIKE 'query\\_%' ESCAPE '\\' THEN 'sparse_query_export' WHEN lower(name) LIKE '%.sql' THEN 'primary_sql_snapshot' ELSE 'other' END AS source_type FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Query_' || p_partkey || '.txt' WHEN p_partkey % 3 = 1 THEN 'dump_' || p_partkey || '.sql' ELSE 'note_' || p_partkey || '.txt' END AS name FROM part)")
+def source_classification(spark, sf_dir):
+    p = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Query_"), p, F.lit(".txt"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("dump_"), p, F.lit(".sql"))).otherwise(F.concat(F.lit("note_"), p, F.lit(".txt")))
+    named = table(spark, sf_dir, "part").select(name.alias("path"))
+    kinds = files.classify_source(F.col("path"), F.regexp_extract("path", r"(\.[a-z]+)$", 1))
+    return named.select("path", kinds["source_type"].alias("source_type"))
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) || '/' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN '_new.sql' ELSE '.sql' END AS canonical_source_file, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN CAST(s_nationkey AS VARCHAR) || '/' || CAST(s_suppkey AS VARCHAR) || '.sql' END AS ordinary_counterpart FROM supplier")
+def snapshot_selection(spark, sf_dir):
+    stem = F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"))
+    s = table(spark, sf_dir, "supplier")
+    plain, new = s.where("s_suppkey % 2 = 1 or s_suppkey % 3 = 0").select(F.concat(stem, F.lit(".sql")).alias("path")), s.where("s_suppkey % 2 = 0").select(F.concat(stem, F.lit("_new.sql")).alias("path"))
+    return files.select_snapshots(plain.unionByName(new)).select("canonical_source_file", "ordinary_counterpart")

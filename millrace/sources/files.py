@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import extract
+from ..functions.scalars import epoch_ms, extract
+from ..operators import diagnostics as dg
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,6 +35,13 @@ def manifest_difference(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.select("path", problem.alias("problem")).where("problem is not null")
 
 
+def manifest(found: DataFrame) -> DataFrame:
+    """The manifest of files found, to be kept beside them: path, bytes, sha256.  Paths that leave their folder fail."""
+    away = F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.col("path").startswith("/")
+    path = F.when(away, F.raise_error(F.concat(F.lit("a path leaves its folder: "), F.col("path"))).cast("string")).otherwise(F.col("path"))
+    return found.select(path.alias("path"), "bytes", "sha256")
+
+
 def require_manifest(found: DataFrame, manifest: DataFrame) -> None:
     bad = manifest_difference(found, manifest).limit(20).collect()
     if bad:
@@ -45,7 +54,7 @@ def same_content(found: DataFrame) -> DataFrame:
 
 
 def classify_source(name: Column, extension: Column) -> dict[str, Column]:
-    """Source type and pipeline role by ordered rules on name and extension."""
+    """Source type and pipeline role, by ordered rules on name and extension (fixed values, first match wins)."""
     low = F.lower(name)
     rules = [
         (extension == ".sql", "primary_sql_snapshot", "canonical_candidate"),
@@ -95,25 +104,49 @@ def select_snapshots(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def query_export(lines: DataFrame, delimiter: str = "|", line: str = "value", order: str = "line_no", file: str = "source_file") -> DataFrame:
-    """Records of a delimited export: the first line with "dateandtime" is its header; lines with a time and as many fields are records.
+    """Records of a delimited export: the first line with "dateandtime" is its header; later lines that begin with a time and have as many fields are records.
 
-    file, line_no, ts_ms, fields (trimmed, a map by header), digest.
+    A time is a date and a time of day joined by ``_`` (a space or T also reads).  file, line_no, ts_ms, series (the second field), fields (trimmed, a
+    map by header), digest.
     """
     parts = F.transform(F.split(F.col(line), re.escape(delimiter)), lambda x: F.trim(x))
-    is_header = F.lower(F.col(line)).contains("dateandtime")
-    header = lines.where(is_header).groupBy(file).agg(F.min_by(parts, order).alias("header"))
-    ts = extract(F.col(line), r"(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?)")
-    joined = lines.where(~is_header).withColumns({"__p": parts, "__t": F.unix_millis(F.try_to_timestamp(ts))}).join(header, file)
-    kept = joined.where(F.col("__t").isNotNull() & (F.size("__p") == F.size("header")))
-    return kept.select(file, order, F.col("__t").alias("ts_ms"), F.map_from_arrays("header", "__p").alias("fields"), F.sha2(F.col(line), 256).alias("digest"))
+    head = lines.where(F.lower(F.col(line)).contains("dateandtime")).groupBy(file).agg(F.min_by(parts, order).alias("header"), F.min(order).alias("__from"))
+    begins = r"^\s*(\d{4}-\d{2}-\d{2})[_ T](\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
+    ts = F.when(F.col(line).rlike(begins), F.concat(F.regexp_extract(line, begins, 1), F.lit(" "), F.regexp_extract(line, begins, 2)))
+    joined = lines.withColumns({"__p": parts, "__t": epoch_ms(F.try_to_timestamp(ts).cast("timestamp_ntz"))}).join(F.broadcast(head), file)  # a row a file
+    kept = joined.where(F.col("__t").isNotNull() & (F.size("__p") == F.size("header")) & (F.col(order) > F.col("__from")))
+    series = F.coalesce(F.try_element_at("__p", F.lit(2)), F.lit(""))
+    return kept.select(file, order, F.col("__t").alias("ts_ms"), series.alias("series"), F.map_from_arrays("header", "__p").alias("fields"), F.sha2(F.col(line), 256).alias("digest"))
+
+
+def export_profile(lines: DataFrame, delimiter: str = "|", line: str = "value", order: str = "line_no", file: str = "source_file") -> tuple[DataFrame, DataFrame]:
+    """Per export: lines, records, repeats, ends and gaps of each series; and per export and column the missing (empty) fields."""
+    records = query_export(lines, delimiter, line, order, file)
+    profile = lines.groupBy(file).agg(F.count("*").alias("line_count")).join(dg.time_profile(records, [file], "series", "ts_ms", order, "digest"), file, "left")
+    return profile, dg.column_profile(records, [file], "fields", F.col("v") == "", numeric=False)
 
 
 def event_log(lines: DataFrame, line: str = "value", order: str = "line_no", file: str = "source_file") -> DataFrame:
-    """Events of a JSON-lines or annotated log: lines that carry ``timestampms``; topic (or "unknown") and the keys they name."""
-    ts = extract(F.col(line), r"(?i)timestampms[\"']?\s*:\s*[\"']?(\d{13})")
-    topic = F.coalesce(extract(F.col(line), r"topic[\"']?\s*:\s*[\"']([^\"']+)"), F.lit("unknown"))
-    keys = F.regexp_extract_all(F.col(line), F.lit(r"([A-Za-z][A-Za-z0-9_]*)[\"']?\s*:"), F.lit(1))
-    return lines.select(file, order, ts.cast("long").alias("ts_ms"), topic.alias("topic"), F.array_distinct(keys).alias("keys")).where("ts_ms is not null")
+    """Events of a log, of JSON lines or annotated text: lines that carry ``timestampms``; topic (or "unknown") and the names they give values.
+
+    Lines that read as JSON objects give their own members; in others a name stands before a colon, perhaps in quotes.
+    """
+    object_keys = F.json_object_keys(F.trim(line))
+    is_json = object_keys.isNotNull()
+    quote = "[\"']?"
+    at = extract(F.col(line), rf"\btimestampms{quote}\s*:\s*{quote}(\d{{13}})(?!\d)")
+    topic = F.coalesce(F.when(is_json, F.get_json_object(line, "$.topic")), extract(F.col(line), rf"\btopic{quote}\s*:\s*[\"']([^\"']*)"), F.lit("unknown"))
+    names = F.regexp_extract_all(F.col(line), F.lit(rf"\b([A-Za-z]\w*){quote}\s*:"), F.lit(1))
+    return lines.select(file, order, at.cast("long").alias("ts_ms"), topic.alias("topic"), F.array_distinct(F.when(is_json, F.array_union(object_keys, names)).otherwise(names)).alias("keys"), F.sha2(F.concat_ws("\0", at, topic), 256).alias("digest")).where("ts_ms is not null")
+
+
+def log_profile(lines: DataFrame, line: str = "value", order: str = "line_no", file: str = "source_file") -> tuple[DataFrame, DataFrame]:
+    """Per log: lines, events, repeats (of time and topic), ends, gaps within topics, all names, and whether every line is an event; and events per topic."""
+    events = event_log(lines, line, order, file)
+    names = events.select(file, F.explode("keys").alias("k")).groupBy(file).agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    counted = lines.groupBy(file).agg(F.count("*").alias("line_count")).join(dg.time_profile(events, [file], "topic", "ts_ms", order, "digest"), file, "left").join(names, file, "left")
+    kind = F.when(F.col("line_count") == F.col("record_count"), "JSON Lines").otherwise("Node-RED multiline log")
+    return counted.withColumn("delimiter", kind), events.groupBy(file, "topic").agg(F.count("*").alias("events"))
 
 
 def png_size(content: Column) -> dict[str, Column]:
@@ -177,6 +210,20 @@ def workbook_sheets(content: pd.Series) -> pd.Series:
 _DTYPES = {"boolean": "boolean", "Int64": "bigint", "int64": "bigint", "Float64": "double", "float64": "double", "string": "string", "object": "string"}
 
 
+def dataset_name(path: str) -> str:
+    """The data set that a CSV file, plain or gzip, is named after."""
+    return re.sub(r"\.csv(\.gz)?$", "", path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def load_recorded(spark: SparkSession, path: str, schemas: str, derived_zone: str | None = None) -> DataFrame:
+    """A CSV file with the types that a JSON file of recorded schemas (data set -> column -> type) gives its data set."""
+    recorded = json.loads(spark.read.text(schemas, wholetext=True).first()[0])
+    name = dataset_name(path)
+    if name not in recorded:
+        raise ValueError(f"no schema is recorded for {name}")
+    return load_csv(spark, path, recorded[name], derived_zone)
+
+
 def load_csv(spark: SparkSession, path: str, columns: dict[str, str], derived_zone: str | None = None) -> DataFrame:
     """A CSV file (gzip too) with its recorded types.  Missing or extra columns fail; so does a null in an ``int64`` column.
 

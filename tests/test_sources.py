@@ -23,14 +23,14 @@ def write(folder, name, *blocks, end="\n"):
     path.write_bytes(("CREATE SCHEMA demo;\n" + "".join(blocks)).replace("\n", end).encode())
 
 
-ROW = ["mes30_3:plcDrillingCPS", "1550000000000", "f", "t", "f", "\\N", "f", "\\N", "t", "0", "\\N", "0", "\\N", "0", "mes30", "0", "0"]
+ROW = ["mes60:camera", "1551234567890", "t", "f", "t", "f", "\\N", "t", "f", "7", "12", "\\N", "3", "\\N", "other", "2", "0"]
 
 
 def test_copy_keeps_null_false_and_zero_apart(spark, tmp_path):
     write(tmp_path, "E/a.sql", block("tblOperationLog", [ROW]), "noise\n", block("tblMachineReport", []), end="\r\n")
     rows = dumps.read_dumps(spark, str(tmp_path))
     r = dumps.table_rows(rows, "tblOperationLog").first()
-    assert rows.count() == 1 and r.Busy is False and r.StationEntryxBG5 is None and r.OperationNo == 0 and r.WorkPlanNo is None and r.source_file == "E/a.sql" and r.line_no == 3
+    assert rows.count() == 1 and r.Busy is True and r.StationEntryxBG5 is False and r.ReadyAtStationxBG1 is None and r.PartNumber == 0 and r.OrderNo is None and r.source_file == "E/a.sql" and r.line_no == 3
 
 
 def test_copy_escapes_and_errors(spark, tmp_path):
@@ -56,11 +56,21 @@ def test_files_selection_and_manifest(spark, tmp_path):
 
 
 def test_exports_and_logs(spark):
-    lines = spark.createDataFrame([("f", 1, "junk"), ("f", 2, "id| dateandtime |v"), ("f", 3, "1|2019-01-24 10:00:00.5|"), ("f", 4, "1|2019-01-24 10:00:01"), ("f", 5, "no time|a|b")], "source_file string, line_no long, value string")
-    got = files.query_export(lines).collect()
-    assert [(r.line_no, r.fields) for r in got] == [(3, {"id": "1", "dateandtime": "2019-01-24 10:00:00.5", "v": ""})]
-    log = spark.createDataFrame([("f", 1, '{"timestampms": 1550000000000, "topic": "a/b"}'), ("f", 2, "nothing"), ("f", 3, "timestampms: 1550000000001")], "source_file string, line_no long, value string")
-    assert [(r.ts_ms, r.topic) for r in files.event_log(log).orderBy("line_no").collect()] == [(1550000000000, "a/b"), (1550000000001, "unknown")]
+    text = ["2019-03-05_10:00:00.5 | a | 1 | early", "id | DateAndTime | v | w", "2019-03-05_10:00:00.500 | a | 1 | ", "  2019-03-05_10:00:02.000|a|2|x", "2019-03-05_10:00:01.000|b||x", "2019-03-05_10:00:01.000|b|", "x 2019-03-05_10:00:01.000|a|b|c", "2019-03-05_10:00:02.000|a|2|x"]
+    lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(text)], "source_file string, line_no long, value string")
+    got = files.query_export(lines).orderBy("line_no").collect()
+    assert [(r.line_no, r.ts_ms - 1551780000000, r.series) for r in got] == [(2, 500, "a"), (3, 2000, "a"), (4, 1000, "b"), (7, 2000, "a")]
+    assert got[0].fields == {"id": "2019-03-05_10:00:00.500", "DateAndTime": "a", "v": "1", "w": ""}
+    profile, columns = files.export_profile(lines)
+    r = profile.first()
+    assert (r.line_count, r.record_count, r.duplicate_rows, r.repeated_times, r.gap_count, r.gap_median) == (8, 4, 0, 1, 2, 750.0)
+    assert {c.column: c.missing_count for c in columns.collect()} == {"id": 0, "DateAndTime": 0, "v": 1, "w": 1}
+    log = spark.createDataFrame([("f", 1, '{"timestampms": 1551234567890, "topic": "a/b", "x": {"y": 1}}'), ("f", 2, "nothing"), ("f", 3, "timestampms: 1551234567895"), ("f", 4, "{topic: 'a/b', timestampms: 1551234567890}")], "source_file string, line_no long, value string")
+    assert [(r.ts_ms, r.topic) for r in files.event_log(log).orderBy("line_no").collect()] == [(1551234567890, "a/b"), (1551234567895, "unknown"), (1551234567890, "a/b")]
+    profile, topics = files.log_profile(log)
+    r = profile.first()
+    assert (r.line_count, r.record_count, r.duplicate_rows, r.keys, r.delimiter) == (4, 3, 1, ["timestampms", "topic", "x", "y"], "Node-RED multiline log")
+    assert {t.topic: t.events for t in topics.collect()} == {"a/b": 2, "unknown": 1}
 
 
 def test_contents(spark):

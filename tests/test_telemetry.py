@@ -1,5 +1,7 @@
 """Telemetry operators on hand-made rows."""
 
+import random
+import statistics
 from itertools import product
 
 import pytest
@@ -15,22 +17,22 @@ def keyed(spark, times, station=30, experiment="ExpX"):
 
 
 def test_session_rule(spark):
-    plc = keyed(spark, [*range(0, 20000, 1000), *range(200000, 220000, 1000)])
+    plc = keyed(spark, [*range(500, 24500, 800), *range(310000, 330000, 800)])
     g = sessions.gaps(plc)
     b = sessions.local_boundaries(g, sessions.thresholds(g))
-    assert [r.boundary for r in b.collect()] == [19000]
-    power = keyed(spark, [-1, 0, 19000, 50000, 200000, 219000, 220000])
+    assert [r.boundary for r in b.collect()] == [23700]
+    power = keyed(spark, [499, 500, 23700, 60000, 310000, 329200, 330000])
     got = {r.ts_ms: r.session_id for r in sessions.sessions_of(power, sessions.intervals(sessions.assign_sessions(plc, b))).collect()}
     one, two = "ExpX-S30-001", "ExpX-S30-002"
-    assert got == {-1: None, 0: one, 19000: one, 50000: None, 200000: two, 219000: two, 220000: None}
+    assert got == {499: None, 500: one, 23700: one, 60000: None, 310000: two, 329200: two, 330000: None}
 
 
 def test_synchronized_silence(spark):
-    own = {10: (1000, 1500), 20: (2000, 2500), 30: (3000, 3500)}
-    rows = [("E", s, t) for s in own for t in range(0, 4001, 10) if not 500 < t < 550 and not own[s][0] < t < own[s][1]]
+    own = {10: (1200, 1840), 20: (2400, 3040), 30: (3300, 3940)}
+    rows = [("E", s, t) for s in own for t in range(0, 4801, 12) if not 600 < t < 672 and not own[s][0] < t < own[s][1]]
     plc = spark.createDataFrame(rows, "experiment_id string, station_id long, ts_ms long")
     found, shared = sessions.silences(plc)
-    assert [(r.start, r.end, r.support) for r in found.collect()] == [(500, 550, 3)]
+    assert [(r.start, r.end, r.support) for r in found.collect()] == [(600, 672, 3)]
     g = sessions.gaps(plc)
     _, counts = sessions.boundary_union(sessions.local_boundaries(g, sessions.thresholds(g)), shared)
     assert {(r.station_id, r.local_boundaries, r.shared_boundaries, r.boundaries) for r in counts.collect()} == {(s, 1, 1, 2) for s in own}
@@ -163,3 +165,70 @@ def test_unique_join_and_one_hot(spark):
     with pytest.raises(Exception, match="repeated key"):
         datasets.unique_join(a, a.select("k").union(a.select("k")), "k").collect()
     assert [tuple(r) for r in datasets.one_hot(a, "s", ["x", "y"]).select("s_x", "s_y").collect()] == [(1.0, 0.0), (0.0, 0.0)]
+
+
+def test_look_back_is_that_of_each_frame(spark):
+    rng = random.Random(4)
+    samples = [("a" if k % 3 else None, rng.choice((None, *range(0, 40000, 250))), rng.choice((None, 5.0, 1e6 + rng.random()))) for k in range(300)]
+    triggers = [(i, rng.choice(("a", "a", "b", None)), rng.choice((None, *range(0, 40000, 500)))) for i in range(60)] + [(99, "a", 7000), (99, "a", 7000)]
+    out = temporal.lookback(spark.createDataFrame(triggers, "i long, k string, t long"), spark.createDataFrame(samples, "k string, ts long, v double"), ["k"], "t", "ts", ["v"], [1, 10]).collect()
+    assert sorted((r.i, r.k or "", -1 if r.t is None else r.t) for r in out) == sorted((i, k or "", -1 if t is None else t) for i, k, t in triggers)
+    for r in out:
+        if r.k != "a":
+            assert r.n_samples_1s is None and r.v_10s_mean is None
+            continue
+        for s in (1, 10):
+            own = [v for k, t, v in samples if k == "a" and (t is None if r.t is None else t is not None and r.t - 1000 * s <= t <= r.t)]
+            known = [v for v in own if v is not None]
+            assert r[f"n_samples_{s}s"] == len(own)
+            assert r[f"v_{s}s_mean"] == (pytest.approx(statistics.fmean(known)) if known else None)
+            assert r[f"v_{s}s_std"] == (pytest.approx(statistics.stdev(known), rel=1e-9, abs=1e-9) if len(known) > 1 else 0.0)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_within_intervals_broadcast_or_not(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(temporal, "MOST_INTERVALS", 0)
+    intervals = spark.createDataFrame([("a", 0, 10, "x"), ("a", 20, 30, "y"), ("b", 5, 5, "z"), (None, 0, 99, "n")], "k string, f long, l long, s string")
+    points = spark.createDataFrame([("a", t) for t in (-1, 0, 10, 15, 20, 30, 31, None)] + [("b", 5), ("c", 5), (None, 5)], "k string, t long")
+    got = sorted(((r.k or "", -9 if r.t is None else r.t, r.s) for r in temporal.within_intervals(points, intervals, ["k"], "t", "f", "l", {"s": "s"}).collect()), key=str)
+    assert got == sorted([("a", -9, None), ("a", -1, None), ("a", 0, "x"), ("a", 10, "x"), ("a", 15, None), ("a", 20, "y"), ("a", 30, "y"), ("a", 31, None), ("b", 5, "z"), ("c", 5, None), ("", 5, None)], key=str)
+
+
+def test_exact_quantiles_by_rank(spark):
+    np = pytest.importorskip("numpy")
+    rng = random.Random(8)
+    values = {"skewed": [rng.expovariate(1) ** 6 for _ in range(700)], "few": [1.0, 1.0, 2.0], "one": [5.0], "none": [None, float("nan")], "ties": [rng.choice((0.0, 3.0)) for _ in range(99)]}
+    df = spark.createDataFrame([(n, v) for n, vs in values.items() for v in vs], "n string, v double")
+    got = {r.n: r for r in diagnostics.exact_quantiles(df, "n", "v", 50).collect()}
+    assert set(got) == set(values) - {"none"}
+    for n, r in got.items():
+        assert [r[c] for c in ("min", "p01", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "max")] == pytest.approx(np.quantile(values[n], [0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1]).tolist())
+
+
+def test_audit_finds_each_fault(spark):
+    power = spark.createDataFrame([(i, "E", 10, 100 * i) for i in range(6)], "canonical_row_id long, experiment_id string, station_id long, ts_ms long")
+    op = spark.createDataFrame([(50, "E", 10, "s1", 100), (51, "E", 10, "s1", 300)], "canonical_row_id long, experiment_id string, station_id long, session_id string, ts_ms long")
+    intervals = spark.createDataFrame([("E", 10, "s1", 100, 300)], "experiment_id string, station_id long, session_id string, first_ms long, last_ms long")
+    schema = "canonical_row_id long, experiment_id string, station_id long, ts_ms long, session_id string, operation_row_id long, plc_timestamp_epoch_ms long, state_age_seconds double, join_matched boolean, join_ambiguous boolean"
+    good = [(0, "E", 10, 0, None, None, None, None, False, False)] + [(i, "E", 10, 100 * i, "s1", 50 if i < 3 else 51, 100 if i < 3 else 300, (100 * i - (100 if i < 3 else 300)) / 1000, True, False) for i in (1, 2, 3)] + [(i, "E", 10, 100 * i, None, None, None, None, False, False) for i in (4, 5)]
+    empty_gaps, empty_silences = spark.createDataFrame([], "experiment_id string, station_id long, start long, end long"), spark.createDataFrame([], "experiment_id string, start long, end long")
+
+    def bad(rows, operation=op, gaps=empty_gaps, silences=empty_silences):
+        found = validate.audit(spark.createDataFrame(rows, schema), power, operation, intervals, gaps, silences).collect()
+        return {r.check for r in found if r.violations}
+
+    def changed(at, **values):
+        names = [c.split()[0] for c in schema.split(", ")]
+        return [tuple(values.get(n, x) for n, x in zip(names, row)) if k == at else row for k, row in enumerate(good)]
+
+    assert bad(good) == set()
+    assert {"readings_are_unique"} <= bad([*good, good[1]]) and "every_reading_is_fused" in bad(good[1:]) and "every_fused_row_is_a_reading" in bad(changed(5, canonical_row_id=77))
+    assert "operation_of_same_session" in bad(changed(1, session_id="s2")) and "operation_of_same_station" in bad(changed(1, station_id=20)) and "operation_of_same_experiment" in bad(changed(1, experiment_id="F"))
+    assert {"no_future_match", "operation_time_is_its_own"} <= bad(changed(1, plc_timestamp_epoch_ms=150)) and "operation_exists" in bad(changed(1, operation_row_id=9))
+    assert {"outside_sessions_has_no_state", "matched_has_time"} <= bad(changed(0, plc_timestamp_epoch_ms=0)) and "unmatched_age_is_null" in bad(changed(4, state_age_seconds=1.0))
+    assert "matched_readings_lie_in_their_interval" in bad(changed(4, session_id="s1", operation_row_id=51, plc_timestamp_epoch_ms=300, state_age_seconds=0.1, join_matched=True))
+    assert "every_operation_has_a_session" in bad(good, op.withColumn("session_id", F.when(F.col("canonical_row_id") == 50, F.col("session_id"))))
+    gaps, silences = spark.createDataFrame([("E", 10, 100, 300)], empty_gaps.schema), spark.createDataFrame([("E", 100, 300), ("E", 400, 500)], empty_silences.schema)
+    assert {"readings_in_silent_gaps_have_no_session", "readings_in_silent_gaps_have_no_state", "silences_have_support"} <= bad(good, op, gaps, silences)
+    assert {"silent_gaps_end_at_operations", "silent_gaps_hold_no_operation"} <= bad(good, op, spark.createDataFrame([("E", 10, 50, 300)], empty_gaps.schema))
