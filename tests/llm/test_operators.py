@@ -15,7 +15,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 import xxhash  # noqa: E402
 
-from millrace.llm import components, media, packing, piece_codec, quality, repeats, run_length_index, shards, shared, simhash, token_files, toxicity  # noqa: E402
+from millrace.llm import boost, components, media, packing, piece_codec, quality, repeats, run_length_index, shards, shared, simhash, token_files, toxicity  # noqa: E402
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LAST = 1 << 63
@@ -322,6 +322,85 @@ def test_toxicity_disguises_and_nearness():
     assert x[0, 16] == 2 and x[0, 14] > 0 and x[1, 15] == x[1, 16] == 0 and x[2, 15] == 1 and not x[3].any()
 
 
+def plain_features(text):
+    """The dense features of a text without a lexicon, word by word."""
+    words = [w.decode() for w in text.encode().split()]
+    insult, hidden, you, caps, masked = [], [], [], [], []
+    for w in words:
+        low = re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+        clear = "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}.get(c, c) for c in w)
+        clear = re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]+", "", clear)).lower()
+        insult.append(low in toxicity.INSULTS)
+        hidden.append(low not in toxicity.INSULTS and clear in toxicity.INSULTS)
+        you.append(low in toxicity.SECOND)
+        letters = [c for c in w if c.isalpha()]
+        caps.append(len(letters) > 1 and all(c.isupper() for c in letters))
+        inner = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+        masked.append(bool(letters) and (not inner.isalpha() or re.search(r"(.)\1{2,}", low) is not None))
+    out, n, every = np.zeros(toxicity.FEATURES), len(words), "".join(words)
+    if not n:
+        return out
+    digits = sum(c.isdigit() for c in every)
+    out[[0, 1, 4, 5, 6]] = [sum(x) / n for x in (insult, hidden, you, caps, masked)]
+    out[7:12] = [x / len(every) for x in (sum(c.isupper() for c in every), len(every) - sum(c.isalpha() for c in every) - digits, every.count("!"), every.count("?"), digits)]
+    hits = [k for k in range(n) if insult[k] or hidden[k]]
+    gaps = [abs(k - j) for k in hits for j in range(n) if you[j] and abs(k - j) <= 8]
+    out[14] = 1 / (1 + min(gaps)) if gaps else 0
+    out[[15, 16, 19]] = sum(insult), sum(hidden), np.log1p(n)
+    return out
+
+
+def test_toxicity_features_are_those_of_each_word(edge):
+    texts = [t or "" for _, t in rows_of(edge)] + ["you IDIOT!! y0u st*pid", "1d10t ... you, sir", "calm one two three four five six seven eight you fool", "LOOSERRR l o s e r", "you " * 9 + "fool"]
+    texts = [t for t in texts if len(t) < 20_000]
+    got = toxicity.text_features([t.encode() for t in texts], toxicity._table({}))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-6)
+
+
+def test_isotonic_is_the_least_squares_rising_fit():
+    rng = np.random.default_rng(5)
+    margin = np.sort(rng.normal(size=40))
+    y = (rng.random(40) < 1 / (1 + np.exp(-3 * margin))).astype(float)
+    fit = boost.Isotonic().fit(margin, y)
+    blocks = np.array([max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)])  # max-min formula
+    assert np.allclose(fit.p, blocks[np.concatenate([[True], np.diff(blocks) > 1e-12])])
+    scores = fit.apply(np.linspace(-4, 4, 200))
+    assert (np.diff(scores) > 0).all() and scores.min() >= 0 and scores.max() <= 1
+
+
+def test_held_out_labels_change_no_score(spark, edge, labels):
+    from pyspark.sql import functions as F
+
+    other = labels.withColumn("toxic", F.when(toxicity.training_split(), F.col("toxic")).otherwise(1 - F.col("toxic")))
+    a, b = (sorted((r.doc_id or -1, r.score) for r in toxicity.toxicity_scores(edge, x).collect()) for x in (labels, other))
+    assert a == b
+
+
+def test_islands_migrate_and_beat_best_fit(spark):
+    sizes = [6, 6, 5, 5, 5, 4, 4, 3, 3, 3, 2, 2, 2] * 12
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
+    plain = packing.Packing(sizes, 10).best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+    assert len(plain.bins) > sum(sizes) // 10  # so that crossover and migration run
+    got = packing.solve(items, 1, 10, islands=3, epochs=3, generations=60).collect()
+    assert sorted((r["item"], r["size"]) for r in got) == list(enumerate(sizes))
+    fills = defaultdict(int)
+    for r in got:
+        fills[r["bin"]] += r["size"]
+    assert max(fills.values()) <= 10 and len(fills) < len(plain.bins) and all(fills[r["bin"]] == r["fill"] for r in got)
+
+
+def test_crossover_injects_whole_bins_and_repeats_nothing():
+    rng = random.Random(6)
+    sizes = [rng.randint(1, 9) for _ in range(60)]
+    a = packing.Packing(sizes, 10).best_fit(rng.sample(range(60), 60))
+    b = packing.Packing(sizes, 10).best_fit(rng.sample(range(60), 60))
+    for _ in range(20):
+        child = a.crossed(b, rng)
+        assert sorted(i for x in child.bins for i in x) == list(range(60)) and max(child.fill) <= 10
+        assert child.fill == [sum(sizes[i] for i in x) for x in child.bins]
+        assert any(set(x) in [set(y) for y in b.bins] for x in child.bins)
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
