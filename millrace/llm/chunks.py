@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .shared import ragged
+from .shared import kept_by, ragged
 
 _TAG = np.uint64(0xFF << 56)
 
@@ -312,3 +312,17 @@ def _encode_pieces(texts: list[bytes], path: str) -> list[tuple[int, bytes, byte
         parts.append((joined.tobytes(), np.concatenate([[0], np.cumsum(size)])[at].tolist()))
     (ids, i), (out, o) = parts
     return [(int(n[j + 1] - n[j]), ids[i[j] : i[j + 1] - 1], out[o[j] + 1 : o[j + 1]]) if t else (0, b"", b"") for j, t in enumerate(texts)]
+
+
+def _forget_words() -> None:
+    word_table.cache_clear()
+    _word_tokenizer.cache_clear()
+
+
+def _forget_pieces() -> None:
+    piece_table.cache_clear()
+    piece_model.cache_clear()
+
+
+kept_by("words", _forget_words)
+kept_by("pieces", _forget_pieces)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encode_words
-from .shared import byte_list, materialize, partitions, steps, with_text
+from .shared import byte_list, give_back, materialize, partitions, steps, with_text
 
 CAPACITY = 4096
 
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("words")
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts, docs = byte_list(batch.column("text")), batch.column("doc_id").to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import encode_pieces
-from .shared import byte_list, steps, with_text
+from .shared import byte_list, give_back, steps, with_text
 
 
 def encode_column(docs: DataFrame, model: str) -> DataFrame:
@@ -33,6 +33,7 @@ def _apply(docs: DataFrame, model: str, each, schema: str, types: tuple) -> Data
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("pieces")
         for batch in batches:
             texts = byte_list(batch.column("text"))
             for a, b in steps(texts):

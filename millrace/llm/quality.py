@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .boost import Boosted, Isotonic, calibrated
 from .chunks import chunk_keys, mixed
-from .shared import byte_list, materialize, steps
+from .shared import byte_list, give_back, materialize, steps
 from .toxicity import FOLDS, _fold, training_rows
 
 _KINDS = [b"*", b"&", b"$", b"%", b"#", b"|", b"!", b"?", b"@<>{}[]\\^~`=_+", b".,;:", b"\n", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b"\"'()-/"]
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     schema = pa.schema([("doc", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = byte_list(batch.column("text"))
             for a, b in steps(texts):
@@ -128,6 +129,7 @@ def with_evidence(docs: DataFrame, model: Model, column: str = "evidence") -> Da
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = byte_list(batch.column("text"))
             found = [model.evidence(texts[a:b]) for a, b in steps(texts)]

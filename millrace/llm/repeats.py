@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .run_length_index import RunLengthIndex
-from .shared import byte_list, partitions, ragged
+from .shared import byte_list, give_back, partitions, ragged
 
 LENGTH = 50
 GRAM = 20
@@ -47,7 +47,7 @@ COMMON = 1000
 #: Strings in a segment at most.
 RUN = 64
 #: Bytes of text in a group, about; a text is never cut between groups.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Strings of a text worked on at once.
 WINDOW = 1 << 17
 #: Bytes of segments in an index, about; segments that share a string always meet.
@@ -200,6 +200,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _send_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         group = _Group(table)
         seen = []
         for data, lens, number, _ in group.windows():
@@ -237,6 +238,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for _, rows in _by_bucket(batches):
         lists = [_of_six(r["anchors"]) for r in rows]
@@ -261,6 +263,7 @@ def _send_segments(buckets: int):
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return _batch(_SEGMENTS, [])
+        give_back()
         group, g = _Group(table), table.column("__g")[0].as_py()
         told = _of_six(b"".join(shared.column("anchors").to_pylist()))
         common = np.frombuffer(b"".join(shared.column("common").to_pylist()), np.uint8)
@@ -314,18 +317,19 @@ def _send_segments(buckets: int):
             some = order[i:j]
             x, y = np.searchsorted(seen, (i, j))
             joined = ragged(bytes_, begin[head[some]], n[head[some]]).tobytes()
-            out.append((k, g, key[head[some]].tobytes(), owner[some].tobytes(), n[head[some]].astype(np.uint8).tobytes(), pa.compress(joined, "zstd", asbytes=True), len(joined), count[i:j].tobytes(), row[x:y].tobytes(), pos[x:y].tobytes()))
+            out.append((k, g, key[head[some]].astype(np.uint32).tobytes(), owner[some].tobytes(), n[head[some]].astype(np.uint8).tobytes(), pa.compress(joined, "zstd", asbytes=True), len(joined), count[i:j].tobytes(), row[x:y].tobytes(), pos[x:y].tobytes()))
         return _batch(_SEGMENTS, out)
 
     return run
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     found: dict[int, list[np.ndarray]] = {}
     for _, rows in _by_bucket(batches):
         docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
         lens = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
-        key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
+        key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows])
         data = np.frombuffer(b"".join(pa.decompress(r["text"], r["size"], "zstd", asbytes=True) for r in rows), np.uint8)
         of = np.repeat(np.arange(len(docs)), np.concatenate([np.frombuffer(r["of"], np.uint32) for r in rows]))
         row, at = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]) for c in ("rows", "at"))
@@ -333,7 +337,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del rows
         starts = np.cumsum(lens) - lens
         parts = -(-len(data) // INDEX_BYTES)
-        part = (_mix(key) % np.uint64(parts)).astype(np.int64)
+        part = (_mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         for k in range(parts):
             own = part == k
             if not own.any():
@@ -363,7 +367,7 @@ def _runs_of(text: np.ndarray, start: np.ndarray, texts: int) -> tuple[np.ndarra
 def _marks_of(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, key: np.ndarray, of: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marks (start, size) in segments' occurrences, and the occurrence that each is of.
 
-    ``data``, ``lens``, ``docs``, ``key``: segments as sent, the smallest document that the sender has them in, and what their anchor
+    ``data``, ``lens``, ``docs``, ``key``: segments as sent, the smallest document that the sender has them in, and 32 bits that their anchor
     gives; ``of``: the segment of each occurrence; ``later``: whether it is in a larger document than that.
     """
     starts = np.cumsum(lens) - lens
@@ -402,6 +406,7 @@ def _cut(each):
     """``each``: text and mask of removed bytes (None: nothing) -> a row's added values."""
 
     def run(table: pa.Table, marks: pa.Table) -> tuple[pa.Table, list[tuple]]:
+        give_back()
         group = _Group(table)
         packed = zip(marks.column("marks").to_pylist(), marks.column("size").to_pylist())
         row, start, size = np.concatenate([np.zeros((3, 0), np.uint32), *(np.frombuffer(pa.decompress(m, n, "zstd", asbytes=True), np.uint32).reshape(3, -1) for m, n in packed)], 1).astype(np.int64)
@@ -424,7 +429,7 @@ def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     tasks = max(n, -(-size // (2 * GROUP_BYTES)))
     spread = F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(16)))  # rows with one id, or without, aren't one group
     grouped = docs.withColumn("__g", F.pmod(spread, F.lit(2 * tasks))).repartition(tasks, "__g")
-    sent = grouped.select("__g", "doc_id", "text").groupBy("__g").applyInArrow(_send_anchors(tasks), _ddl(_ANCHORS))
+    sent = grouped.groupBy("__g").applyInArrow(_send_anchors(tasks), _ddl(_ANCHORS))
     shared = sent.repartition(tasks, "bucket").mapInArrow(_share, _ddl(_SHARED))
     segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(tasks), _ddl(_SEGMENTS))
     marks = segments.repartition(tasks, "bucket").mapInArrow(_mark, _ddl(_MARKS))

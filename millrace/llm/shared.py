@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(owner: str, forget: Callable[[], None]) -> None:
+    """Register how a worker gives up what ``owner`` keeps between tasks."""
+    _FORGET[owner] = forget
+
+
+def give_back(*owners: str) -> None:
+    """In a worker: drop what others than ``owners`` keep, and return freed memory, so that one stage's tables don't add to the next one's."""
+    for name, forget in _FORGET.items():
+        if name not in owners:
+            forget()
+    pa.default_memory_pool().release_unused()
+    trim = _libc_trim()
+    if trim is not None:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _libc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI (file, hdfs, s3, ...)."""
     if uri.startswith("file:"):
@@ -89,4 +118,6 @@ def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarr
     """The slices ``values[starts[i] : starts[i] + lens[i]]``, one after another."""
     lens = lens.astype(np.int64)
     before = np.cumsum(lens) - lens
-    return values[np.repeat(starts - before, lens) + np.arange(int(lens.sum()))]
+    at = np.repeat(starts - before, lens)
+    at += np.arange(len(at))
+    return values[at]

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .boost import Boosted, Isotonic, calibrated
 from .chunks import ChunkTable
-from .shared import byte_list, materialize, steps
+from .shared import byte_list, give_back, kept_by, materialize, steps
 
 #: Common insults.
 INSULTS = frozenset("asshole bastard bitch clown coward creep cretin dimwit disgusting dumb dumbass dummy filth fool freak garbage idiot idiotic imbecile jerk loser lunatic maggot moron moronic nitwit parasite pathetic pig scum shithead slob slut stupid swine trash ugly useless vermin whore worthless".split())
@@ -99,6 +99,7 @@ def _table_of(lexicon: dict[str, float]) -> ChunkTable:
     return _KEPT[name]
 
 
+kept_by("toxicity", _KEPT.clear)
 FEATURES = 21
 
 
@@ -218,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
         return Model({}, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tables = [_table(x) for x in lexicons[:FOLDS]]
         for batch in batches:
             doc, y, texts = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), byte_list(batch.column("text"))
@@ -245,6 +247,7 @@ def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFram
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("toxicity")
         table = _table_of(model.lexicon)
         for batch in batches:
             texts = byte_list(batch.column("text"))
