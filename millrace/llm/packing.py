@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encode_words
-from .shared import byte_list, give_back, materialize, partitions, steps, with_text
+from .shared import byte_list, materialize, partitions, steps, tidy, with_text
 
 CAPACITY = 4096
 
@@ -35,7 +35,6 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("words")
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts, docs = byte_list(batch.column("text")), batch.column("doc_id").to_pylist()
@@ -50,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
                         rows.append((doc, k // capacity, k, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return with_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_text(docs).mapInArrow(tidy(run, "words"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -200,7 +199,7 @@ def solve(items: DataFrame, problems: int, capacity: int = CAPACITY, islands: in
     problem = dealt.groupBy("g").applyInArrow(_gather, "g long, items binary, sizes binary")
     now = problem.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast("binary").alias("bins"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("merit"))
     for epoch in range(epochs):
-        now = now.repartition(max(n, min(problems * islands, 4 * n)), "g", "island").mapInArrow(_island(capacity, epoch, generations), _ISLAND_DDL)
+        now = now.repartition(max(n, min(problems * islands, 4 * n)), "g", "island").mapInArrow(tidy(_island(capacity, epoch, generations)), _ISLAND_DDL)
         if epoch + 1 < epochs:  # the best of each island stays and goes to the next
             now = now.withColumn("to", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands))))).withColumn("island", F.col("to")).drop("to")
 
@@ -242,5 +241,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         yield pa.RecordBatch.from_pydict({"item": item, "sequence_id": s, "offset": before - start})
 
     n = partitions(docs.sparkSession)
-    placed = found.repartition(n, "sequence_id").mapInArrow(offsets, "item long, sequence_id long, offset long")
+    placed = found.repartition(n, "sequence_id").mapInArrow(tidy(offsets), "item long, sequence_id long, offset long")
     return all_pieces.join(placed, "item").drop("item").unionByName(whole.drop("item"))

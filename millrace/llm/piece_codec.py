@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import encode_pieces
-from .shared import byte_list, give_back, steps, with_text
+from .shared import byte_list, steps, tidy, with_text
 
 
 def encode_column(docs: DataFrame, model: str) -> DataFrame:
@@ -33,7 +33,6 @@ def _apply(docs: DataFrame, model: str, each, schema: str, types: tuple) -> Data
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("pieces")
         for batch in batches:
             texts = byte_list(batch.column("text"))
             for a, b in steps(texts):
@@ -41,4 +40,4 @@ def _apply(docs: DataFrame, model: str, each, schema: str, types: tuple) -> Data
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], names=names)
 
-    return with_text(docs).mapInArrow(run, f"doc_id long, {schema}")
+    return with_text(docs).mapInArrow(tidy(run, "pieces"), f"doc_id long, {schema}")

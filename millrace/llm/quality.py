@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .boost import Boosted, Isotonic, calibrated
 from .chunks import chunk_keys, mixed
-from .shared import byte_list, give_back, materialize, steps
+from .shared import byte_list, materialize, steps, tidy
 from .toxicity import FOLDS, _fold, training_rows
 
 _KINDS = [b"*", b"&", b"$", b"%", b"#", b"|", b"!", b"?", b"@<>{}[]\\^~`=_+", b".,;:", b"\n", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b"\"'()-/"]
@@ -106,13 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     schema = pa.schema([("doc", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for batch in batches:
             texts = byte_list(batch.column("text"))
             for a, b in steps(texts):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a).cast(pa.int64()), pa.array(surface_features(texts[a:b]).tolist(), schema[2].type)], schema=schema)
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc long, y long, x array<double>").toArrow()  # features of at most ``most`` rows
+    got = rows.select("doc_id", "y", "text").mapInArrow(tidy(run), "doc long, y long, x array<double>").toArrow()  # features of at most ``most`` rows
     if not got.num_rows:
         return Model(0.5)
     order = np.argsort(got.column("doc").to_numpy(), kind="stable")
@@ -129,13 +128,12 @@ def with_evidence(docs: DataFrame, model: Model, column: str = "evidence") -> Da
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for batch in batches:
             texts = byte_list(batch.column("text"))
             found = [model.evidence(texts[a:b]) for a, b in steps(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _weight(rates: DataFrame, rate: str, n: str, parent) -> float:

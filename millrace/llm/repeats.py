@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .run_length_index import RunLengthIndex
-from .shared import byte_list, give_back, partitions, ragged
+from .shared import byte_list, partitions, ragged, tidy, tidy_group, tidy_pair
 
 LENGTH = 50
 GRAM = 20
@@ -200,7 +200,6 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _send_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        give_back()
         group = _Group(table)
         seen = []
         for data, lens, number, _ in group.windows():
@@ -238,7 +237,6 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
 
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    give_back()
     told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for _, rows in _by_bucket(batches):
         lists = [_of_six(r["anchors"]) for r in rows]
@@ -263,7 +261,6 @@ def _send_segments(buckets: int):
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return _batch(_SEGMENTS, [])
-        give_back()
         group, g = _Group(table), table.column("__g")[0].as_py()
         told = _of_six(b"".join(shared.column("anchors").to_pylist()))
         common = np.frombuffer(b"".join(shared.column("common").to_pylist()), np.uint8)
@@ -324,7 +321,6 @@ def _send_segments(buckets: int):
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    give_back()
     found: dict[int, list[np.ndarray]] = {}
     for _, rows in _by_bucket(batches):
         docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
@@ -406,7 +402,6 @@ def _cut(each):
     """``each``: text and mask of removed bytes (None: nothing) -> a row's added values."""
 
     def run(table: pa.Table, marks: pa.Table) -> tuple[pa.Table, list[tuple]]:
-        give_back()
         group = _Group(table)
         packed = zip(marks.column("marks").to_pylist(), marks.column("size").to_pylist())
         row, start, size = np.concatenate([np.zeros((3, 0), np.uint32), *(np.frombuffer(pa.decompress(m, n, "zstd", asbytes=True), np.uint32).reshape(3, -1) for m, n in packed)], 1).astype(np.int64)
@@ -429,11 +424,11 @@ def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     tasks = max(n, -(-size // (2 * GROUP_BYTES)))
     spread = F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(16)))  # rows with one id, or without, aren't one group
     grouped = docs.withColumn("__g", F.pmod(spread, F.lit(2 * tasks))).repartition(tasks, "__g")
-    sent = grouped.groupBy("__g").applyInArrow(_send_anchors(tasks), _ddl(_ANCHORS))
-    shared = sent.repartition(tasks, "bucket").mapInArrow(_share, _ddl(_SHARED))
-    segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(_send_segments(tasks), _ddl(_SEGMENTS))
-    marks = segments.repartition(tasks, "bucket").mapInArrow(_mark, _ddl(_MARKS))
-    return grouped.groupBy("__g").cogroup(marks.groupBy("g")).applyInArrow(finish, schema)
+    sent = grouped.groupBy("__g").applyInArrow(tidy_group(_send_anchors(tasks)), _ddl(_ANCHORS))
+    shared = sent.repartition(tasks, "bucket").mapInArrow(tidy(_share), _ddl(_SHARED))
+    segments = grouped.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(tidy_pair(_send_segments(tasks)), _ddl(_SEGMENTS))
+    marks = segments.repartition(tasks, "bucket").mapInArrow(tidy(_mark), _ddl(_MARKS))
+    return grouped.groupBy("__g").cogroup(marks.groupBy("g")).applyInArrow(tidy_pair(finish), schema)
 
 
 def _typed(docs: DataFrame) -> DataFrame:

@@ -67,6 +67,41 @@ def give_back(*owners: str) -> None:
         trim(0)
 
 
+def tidy(run, *owners: str):
+    """A function of batches that gives memory back before its first and after its last batch."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(*owners)
+        yield from run(batches)
+        give_back(*owners)
+
+    return tidied
+
+
+def tidy_group(run):
+    """A function of one table that gives memory back before and after."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        give_back()
+        out = run(table)
+        give_back()
+        return out
+
+    return tidied
+
+
+def tidy_pair(run):
+    """A function of two tables that gives memory back before and after."""
+
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
+        out = run(left, right)
+        give_back()
+        return out
+
+    return tidied
+
+
 @functools.lru_cache(maxsize=1)
 def _libc_trim():
     try:

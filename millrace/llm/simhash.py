@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import byte_list, materialize, partitions, with_text
+from .shared import byte_list, materialize, partitions, tidy, with_text
 
 RADIUS = 3
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in byte_list(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return with_text(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 _HALF = np.uint64(0xFFFFFFFF)
@@ -143,8 +143,8 @@ def links(classes: DataFrame, buckets: int | None = None) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    filed = classes.mapInArrow(file, "bucket long, key binary, fp binary, nodes binary, asks binary")
-    return filed.repartition(n, "bucket").mapInArrow(look, "a long, b long")
+    filed = classes.mapInArrow(tidy(file), "bucket long, key binary, fp binary, nodes binary, asks binary")
+    return filed.repartition(n, "bucket").mapInArrow(tidy(look), "a long, b long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:

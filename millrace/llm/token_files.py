@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import encode_words
-from .shared import byte_list, give_back, open_fs, partitions, steps, with_text
+from .shared import byte_list, open_fs, partitions, steps, tidy, with_text
 
 NO_ID = -(1 << 63)
 
@@ -38,7 +38,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("words")
         fs, root = open_fs(path)
         task = TaskContext.get()
         n, temp = task.partitionId(), f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -76,7 +75,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         with_text(docs)
         .repartitionByRange(parts or partitions(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .mapInArrow(run, "part long, docs long, ids long")
+        .mapInArrow(tidy(run, "words"), "part long, docs long, ids long")
         .collect()  # one row a file
     )
     manifest, base, doc_base = [], 0, 0

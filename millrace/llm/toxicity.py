@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .boost import Boosted, Isotonic, calibrated
 from .chunks import ChunkTable
-from .shared import byte_list, give_back, kept_by, materialize, steps
+from .shared import byte_list, kept_by, materialize, steps, tidy
 
 #: Common insults.
 INSULTS = frozenset("asshole bastard bitch clown coward creep cretin dimwit disgusting dumb dumbass dummy filth fool freak garbage idiot idiotic imbecile jerk loser lunatic maggot moron moronic nitwit parasite pathetic pig scum shithead slob slut stupid swine trash ugly useless vermin whore worthless".split())
@@ -190,7 +190,7 @@ def _lexicons(rows: DataFrame, entries: int) -> list[dict[str, float]]:
 
     schema = pa.schema([("item", pa.string()), ("n", pa.list_(pa.int64()))])
     sums = [F.sum(F.element_at("n", k + 1)).alias(f"n{k}") for k in range(2 * FOLDS)]
-    counts = rows.select("doc_id", "y", "text").mapInArrow(count, "item string, n array<long>").groupBy("item").agg(*sums)
+    counts = rows.select("doc_id", "y", "text").mapInArrow(tidy(count), "item string, n array<long>").groupBy("item").agg(*sums)
     ones, zeros = (sum((F.col(f"n{2 * k + c}") for k in range(FOLDS)), F.lit(0)) for c in (1, 0))
     typical = counts.withColumn("ones", ones).withColumn("zeros", zeros)
     total = typical.where("item = ''").first()
@@ -219,7 +219,6 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
         return Model({}, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         tables = [_table(x) for x in lexicons[:FOLDS]]
         for batch in batches:
             doc, y, texts = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), byte_list(batch.column("text"))
@@ -230,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
                     yield pa.RecordBatch.from_pydict({"k": [k] * len(x), "y": [y[i] for i in own[a:b]], "doc": [doc[i] for i in own[a:b]], "x": x.tolist()}, schema)
 
     schema = pa.schema([("k", pa.int64()), ("y", pa.int64()), ("doc", pa.int64()), ("x", pa.list_(pa.float64()))])
-    got = rows.mapInArrow(run, "k long, y long, doc long, x array<double>").toArrow()  # features of at most ``most`` rows
+    got = rows.mapInArrow(tidy(run), "k long, y long, doc long, x array<double>").toArrow()  # features of at most ``most`` rows
     if not got.num_rows:
         return Model({}, None, None)
     order = np.argsort(got.column("doc").to_numpy(), kind="stable")
@@ -247,14 +246,13 @@ def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFram
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("toxicity")
         table = _table_of(model.lexicon)
         for batch in batches:
             texts = byte_list(batch.column("text"))
             scores = [model.score(text_features(texts[a:b], table)) for a, b in steps(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, "toxicity"), schema)
 
 
 def training_split() -> Column:
