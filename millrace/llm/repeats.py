@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .run_length_index import RunLengthIndex
-from .shared import byte_list, partitions, ragged, tidy, tidy_group, tidy_pair
+from .shared import byte_list, in_batches, partitions, ragged, tidy, tidy_group, tidy_pair
 
 LENGTH = 50
 GRAM = 20
@@ -419,6 +419,7 @@ def _cut(each):
 
 def _marked(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     """Group the documents, find the marks, and hand both to ``finish``."""
+    in_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(docs.sparkSession)
     tasks = max(n, -(-size // (2 * GROUP_BYTES)))

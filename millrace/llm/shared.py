@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; working memory is a small multiple of it.
 STEP_BYTES = 1_000_000
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session says otherwise; a longer row is a batch of its own.
+BATCH_BYTES = "4m"
 
 
 _OWN: dict[str, str] = {}
@@ -41,8 +43,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def in_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes where the session sets no bound: 10,000 rows of long texts would be held several times over on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    in_batches(df.sparkSession)
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -122,6 +132,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -146,6 +157,7 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
 
 def with_text(df: DataFrame) -> DataFrame:
     """The two columns that the text operators read, typed."""
+    in_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -182,7 +182,7 @@ def _lexicons(rows: DataFrame, entries: int) -> list[dict[str, float]]:
                 docs[at] += 1
                 for item in {i for w in set(text.split()) for i in items(bare(w))}:
                     found.setdefault(item, [0] * (2 * FOLDS))[at] += 1
-            if len(found) > 300_000:
+            if len(found) > 60_000:
                 yield pa.RecordBatch.from_pydict({"item": list(found), "n": list(found.values())}, schema)
                 found = {}
         found[""] = docs
