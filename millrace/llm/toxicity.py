@@ -65,17 +65,31 @@ WIDE = 14
 
 
 def word_features(word: str, lexicon: dict[str, float]) -> tuple[float, ...]:
-    low = bare(word)
-    plain = undisguised(word)
+    """Features of a word, which isn't empty. Most words are letters between marks, and are told from that without a look at each character."""
+    inner = word if word[0].isalnum() and word[-1].isalnum() else _EDGE.sub("", word)
+    low = inner.lower()
     insult = low in INSULTS
-    letters = sum(map(str.isalpha, word))
-    upper = sum(map(str.isupper, word))
-    digits = sum(map(str.isdigit, word))
-    inner = _EDGE.sub("", word)
-    masked = letters > 0 and (len(inner) != sum(map(str.isalpha, inner)) or bool(_REPEAT.search(low)))
+    if inner.isalpha():
+        letters, digits, masked = len(inner), 0, _REPEAT.search(low) is not None
+    else:
+        letters, digits = sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
+        masked = letters > 0 and (len(inner) != sum(map(str.isalpha, inner)) or _REPEAT.search(low) is not None)
+    upper = 0 if word.islower() else sum(map(str.isupper, word))
+    if insult:
+        hidden = False
+    elif inner is word and letters == len(word):  # nothing to undo but stretched letters
+        hidden = masked and undisguised(word) in INSULTS
+    else:
+        hidden = undisguised(word) in INSULTS
+    start = 0.0
+    for k in STARTS:
+        if len(low) <= k:
+            break
+        start = max(start, lexicon.get(low[:k], 0.0))
+    marks = len(word) - letters - digits
     return (
-        insult, not insult and plain in INSULTS, lexicon.get("=" + low, 0.0), max((lexicon.get(s, 0.0) for s in items(low)[1:]), default=0.0), low in SECOND,
-        letters > 1 and upper == letters, upper, letters, len(word) - letters - digits, word.count("!"), word.count("?"), masked, digits, len(word),
+        insult, hidden, lexicon.get("=" + low, 0.0), start, low in SECOND,
+        letters > 1 and upper == letters, upper, letters, marks, word.count("!") if marks else 0, word.count("?") if marks else 0, masked, digits, len(word),
     )
 
 
