@@ -4,6 +4,7 @@ A fingerprint has one bit for each bit of a 64-bit shingle hash: 1 if set in ove
 fingerprints link at 3 or fewer differing bits.  Of the two 32-bit halves one then differs by at most one bit, so a
 fingerprint is filed under each half (the tables) and asks the tables for the ball of radius one around each half;
 of two halves that differ in one bit, the one with that bit clear asks.  Matches are held against the whole distance.
+Other radii go the same way with more, shorter parts: at a radius under twice their number one part differs by at most one bit.
 
 Equal fingerprints are one class first, so copies never meet each other.  Table and query entries travel as packed
 arrays, a row for each bucket and batch.  A bucket links its fingerprints by a spanning forest, not by all pairs; the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import byte_list, materialize, partitions, tidy, with_text
 
-RADIUS = 3
+RADIUS, PARTS = 3, 2
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -59,16 +60,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return with_text(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
-_HALF = np.uint64(0xFFFFFFFF)
-
-
-def _entries(fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys (half's number above its 32 bits), fingerprints, nodes, and whether the entry asks."""
-    for half in (0, 1):
-        own = (fp >> np.uint64(32 * half)) & _HALF
-        top = np.uint64(half << 32)
+def _entries(fp: np.ndarray, node: np.ndarray, parts: int = PARTS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys (part's number above its bits, at most 32), fingerprints, nodes, and whether the entry asks."""
+    ends = [64 * k // parts for k in range(parts + 1)]
+    for part, (low, high) in enumerate(zip(ends, ends[1:])):
+        own = (fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        top = np.uint64(part << 32)
         yield own | top, fp, node, np.zeros(len(fp), np.uint8)
-        for j in range(32):
+        for j in range(high - low):
             bit = np.uint64(1 << j)
             asks = (own & bit) == 0
             yield own[asks] | bit | top, fp[asks], node[asks], np.ones(int(asks.sum()), np.uint8)
@@ -117,13 +116,15 @@ def links_in_bucket(key: np.ndarray, fp: np.ndarray, node: np.ndarray, asks: np.
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def links(classes: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``classes`` (fp, node), distinct.  Edges (a, b) of a graph with the same components as all links."""
+def links(classes: DataFrame, buckets: int | None = None, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """``classes`` (fp, node), distinct.  Edges (a, b, apart: differing bits) of a graph with the same components as all links."""
+    if not 2 <= parts <= 64 or radius >= 2 * parts:
+        raise ValueError("the radius must be under twice the number of parts")
     n = buckets or partitions(classes.sparkSession)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, node, asks = (np.concatenate(x) for x in zip(*_entries(batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy())))
+            key, fp, node, asks = (np.concatenate(x) for x in zip(*_entries(batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy(), parts)))
             bucket = (_mix(key) % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -138,13 +139,16 @@ def links(classes: DataFrame, buckets: int | None = None) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 held.setdefault(row["bucket"], []).append([np.frombuffer(row[c], t) for c, t in (("key", np.uint64), ("fp", np.uint64), ("nodes", np.int64), ("asks", np.uint8))])
-        for parts in held.values():
-            a, b = links_in_bucket(*(np.concatenate(x) for x in zip(*parts)))
+        for found in held.values():
+            key, fp, node, asks = (np.concatenate(x) for x in zip(*found))
+            a, b = links_in_bucket(key, fp, node, asks, radius)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                ids, at = np.unique(node, return_index=True)
+                apart = np.bitwise_count(fp[at[np.searchsorted(ids, a)]] ^ fp[at[np.searchsorted(ids, b)]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart)], names=["a", "b", "apart"])
 
     filed = classes.mapInArrow(tidy(file), "bucket long, key binary, fp binary, nodes binary, asks binary")
-    return filed.repartition(n, "bucket").mapInArrow(tidy(look), "a long, b long")
+    return filed.repartition(n, "bucket").mapInArrow(tidy(look), "a long, b long, apart long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -154,6 +158,6 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     classes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     several = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     shared = known.join(several, "doc_id", "left_semi").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = components(links(classes).unionByName(shared))
+    roots = components(links(classes).select("a", "b").unionByName(shared))
     of = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

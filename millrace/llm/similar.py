@@ -1,10 +1,15 @@
 """Near copies by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and all that such links join.
 
-SimHash at 64 bits can't find these: at 0.8 two fingerprints differ in 10 bits, give or take 3, and a ball that wide holds a
-share of all texts.  So candidates come from min-hashes, 40 bands of 5.  Two texts at 0.8 share fewer than two bands with
+Links are found by SimHash first, as in operator 5: its fingerprints of three-word shingles, filed in five parts of 12 or 13 bits, each
+asked in a ball of radius one, the whole distance held to 9 bits, so that no two fingerprints within it are missed; buckets give
+forests, and each node's nearest edge of these is verified on the exact sets.  But a fingerprint only estimates: two texts at 0.8 may differ in
+more bits (10, give or take 3, in the worst case), and the edges verified are not all pairs.
+
+So what SimHash leaves apart is held together by min-hashes, 40 bands of 5.  Two texts at 0.8 share fewer than two bands with
 probability 3e-6 (less above 0.8); that is the only loss.  Every link is verified on the exact sets.
 
-Equal texts are one node.  Each node is first held against its best of the bands' hubs.  A node of which too many shingles occur in
+Equal texts are one node.  Of the bands' keys only those are looked at in which components still meet.  There each node is held against
+its best of the bands' hubs.  A node of which too many shingles occur in
 no other node that may still have links can't reach the similarity with any, so it is left out, exactly; this and a second look at
 hubs, now the nodes that share most with others, go before the last step.  There nodes are filed again in 357 bands of 15, and pairs that share one, lie in
 different components and can be alike by these counts are verified.  So a large group of near copies is joined by few pairs, not by all, and
@@ -25,8 +30,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import byte_list, materialize, partitions, tidy
+from .simhash import fingerprint
+from .simhash import links as print_links
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
+#: Differing bits of two fingerprints that SimHash may link, and the parts in which these are filed.
+PRINT_RADIUS, PRINT_PARTS = 9, 5
 #: Rounds in which nodes that may still have links are held against the middle of their bands.
 ROUNDS = 1
 #: Least similarity, as a fraction.
@@ -81,20 +90,36 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """``texts`` (node, text).  For each node its number of shingles and band keys."""
+    """``texts`` (node, text).  For each node its number of shingles, fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, prints, keys = [], [], []
             for text in byte_list(batch.column("text")):
                 found = shingle_set(text)
                 sizes.append(len(found))
+                prints.append(fingerprint(text))
                 keys.append(band_keys(found))
             flat = np.concatenate([*keys, np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), lists], names=["node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=["node", "n", "fp", "bands"])
+
+    return texts.mapInArrow(tidy(run), "node long, n long, fp long, bands array<long>").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "bands")))
+
+
+def _by_print(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: of forests over all fingerprints within the radius each node's nearest; equal fingerprints meet their least node."""
+    classes = materialize(signed.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    equal = signed.select("node", "fp").join(classes.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = materialize(print_links(classes, radius=PRINT_RADIUS, parts=PRINT_PARTS), "met")
+    either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = either.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("h"))
+    return equal.unionByName(nearest.select(F.greatest("a", "h.b").alias("a"), F.least("a", "h.b").alias("b")).distinct())
 
-    return texts.mapInArrow(tidy(run), "node long, n long, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+
+def _best(met: DataFrame, most: int) -> DataFrame:
+    """Of the pairs (a, b) of each ``a`` those that met most often."""
+    return met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), "b"))).where(F.col("k") <= most).select("a", "b")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -122,6 +147,11 @@ def _near_size(x: str, y: str) -> F.Column:
     return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
 
 
+def _rooted(filed: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, node, n) with the root of the node's component."""
+    return filed.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _open(filed: DataFrame) -> DataFrame:
     """Rows (key, root, ...) of keys in which components still meet."""
     mixed = filed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
@@ -178,27 +208,27 @@ def _filed_again(left: DataFrame, sets: DataFrame) -> DataFrame:
 def roots(texts: DataFrame, hubs: int = 3) -> DataFrame:
     """``texts`` (node, text), rows of a node with equal texts.  Returns (node, root) for the nodes that have a link."""
     signed = materialize(_signed(texts), "signed")
+    by_print = materialize(_by_print(signed), "by-print")
     filed = signed.select("node", "n", F.explode("bands").alias("key"))
-    groups = filed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", "h.hub", "h.hub_n")
-    shared = materialize(filed.join(groups, "key"), "shared")
-    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    shared = materialize(filed.join(filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key"), "shared")
+    ends = by_print.select(F.col("a").alias("node")).unionByName(by_print.select(F.col("b").alias("node")))
+    wanted = texts.join(shared.select("node").unionByName(ends).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(_sets(wanted), "sets")
+    links = materialize(_verified(by_print, sets), "print-links")
 
-    met = shared.where("node <> hub").where(_near_size("n", "hub_n")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("m"))
-    best = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), "b"))).where(F.col("k") <= hubs)
-    first = materialize(_verified(best.select("a", "b"), sets), "first-links")
+    left = materialize(_open(_rooted(shared, links)), "open")
+    groups = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node", "n", "root")).alias("h"))
+    met = left.join(groups, "key").where("root <> h.root").where(_near_size("n", "h.n")).groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count("*").alias("m"))
+    links = materialize(links.unionByName(_verified(_best(met, hubs), sets)), "first-links")
 
-    links = first
-    left = shared.select("key", "node", "n")
     for k in range(ROUNDS + 1):
-        left = materialize(_open(left.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))), "open")
+        left = materialize(_open(_rooted(left, links)), "open")
         left = materialize(_open(_possible(left.join(_held(left, sets, k > 0), "node"))), "possible")
         if k == ROUNDS:
             break
         middle = left.groupBy("key").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("part"), "node", "n", "held", "root")).alias("h"))
         met = left.join(middle, "key").where("root <> h.root").where(_can_link("n", "held", "h.n", "h.held")).groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count("*").alias("m"))
-        best = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"), "b"))).where(F.col("k") <= hubs)
-        links = materialize(links.unionByName(_verified(best.select("a", "b"), sets)), "links")
+        links = materialize(links.unionByName(_verified(_best(met, hubs), sets)), "links")
 
     again = _filed_again(left, sets)
     x, y = (again.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "held", "root"))) for s in "ab")

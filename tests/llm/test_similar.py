@@ -70,3 +70,55 @@ def test_rows_are_decided_one_by_one_where_ids_repeat(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
+def test_simhash_links_without_any_band(spark, monkeypatch):
+    """With keys that no two texts share, the stage still joins what lies within the radius of fingerprints."""
+    import numpy as np
+
+    from millrace.llm import similar
+    from millrace.llm.simhash import fingerprint
+
+    def lone_keys(shingles, draws=None):
+        import os
+
+        import numpy as np
+
+        return np.frombuffer(os.urandom(8 * 40), np.int64)
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        words[rng.randrange(200)] = "z"
+        texts.append(" ".join(words))
+    prints = [fingerprint(t.encode()) for t in texts]
+    apart = [(prints[k] ^ prints[k + 1]).bit_count() for k in range(0, 80, 2)]
+    assert max(apart) <= 9 and max(apart) > 3  # not by the law of operator 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(similar, "band_keys", lone_keys)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(0, 80, 2))
+
+
+def test_forests_hold_all_fingerprints_within_any_radius(spark):
+    from millrace.llm.components import components
+    from millrace.llm.simhash import links
+
+    rng = random.Random(9)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    for p in prints[:60]:
+        for bits in (3, 9, 11, 12):
+            prints.append(p ^ sum(1 << j for j in rng.sample(range(64), bits)))
+    prints = list(dict.fromkeys(prints))
+    classes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fp long, node long")
+    for radius, parts in ((3, 2), (7, 4), (9, 5), (11, 6)):
+        up = list(range(len(prints)))
+        for i, j in combinations(range(len(prints)), 2):
+            if up[i] != up[j] and (prints[i] ^ prints[j]).bit_count() <= radius:
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+        found = dict(components(links(classes, radius=radius, parts=parts)).collect())
+        assert [found.get(i, i) for i in range(len(prints))] == up
+    with pytest.raises(ValueError):
+        links(classes, radius=12, parts=6)
