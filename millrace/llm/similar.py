@@ -1,15 +1,15 @@
 """Near copies by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and all that such links join.
 
-Links are found by SimHash first, as in operator 5: its fingerprints of three-word shingles, filed in five parts of 12 or 13 bits, each
+Links are sought by SimHash first, as in operator 5: its fingerprints of three-word shingles, filed in five parts of 12 or 13 bits, each
 asked in a ball of radius one, the whole distance held to 9 bits, so that no two fingerprints within it are missed; buckets give
 forests, and each node's nearest edge of these is verified on the exact sets.  But a fingerprint only estimates: two texts at 0.8 may differ in
 more bits (10, give or take 3, in the worst case), and the edges verified are not all pairs.
 
-So what SimHash leaves apart is held together by min-hashes, 40 bands of 5.  Two texts at 0.8 share fewer than two bands with
+So min-hashes, 40 bands of 5, join what SimHash leaves apart.  Two texts at 0.8 share fewer than two bands with
 probability 3e-6 (less above 0.8); that is the only loss.  Every link is verified on the exact sets.
 
-Equal texts are one node.  Of the bands' keys only those are looked at in which components still meet.  There each node is held against
-its best of the bands' hubs.  A node of which too many shingles occur in
+Equal texts are one node.  With the edges of SimHash each node is held against its best of the bands' hubs; from then on only keys are
+looked at in which components still meet.  A node of which too many shingles occur in
 no other node that may still have links can't reach the similarity with any, so it is left out, exactly; this and a second look at
 hubs, now the nodes that share most with others, go before the last step.  There nodes are filed again in 357 bands of 15, and pairs that share one, lie in
 different components and can be alike by these counts are verified.  So a large group of near copies is joined by few pairs, not by all, and
@@ -111,10 +111,10 @@ def _by_print(signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes by SimHash: of forests over all fingerprints within the radius each node's nearest; equal fingerprints meet their least node."""
     classes = materialize(signed.groupBy("fp").agg(F.min("node").alias("node")), "classes")
     equal = signed.select("node", "fp").join(classes.select("fp", F.col("node").alias("b")), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    near = materialize(print_links(classes, radius=PRINT_RADIUS, parts=PRINT_PARTS), "met")
-    either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    near = print_links(classes, radius=PRINT_RADIUS, parts=PRINT_PARTS)
+    either = near.select(F.explode(F.array(F.struct("a", "b", "apart"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))).alias("e")).select("e.*")
     nearest = either.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("h"))
-    return equal.unionByName(nearest.select(F.greatest("a", "h.b").alias("a"), F.least("a", "h.b").alias("b")).distinct())
+    return equal.unionByName(nearest.select("a", F.col("h.b").alias("b")))
 
 
 def _best(met: DataFrame, most: int) -> DataFrame:
@@ -210,17 +210,17 @@ def roots(texts: DataFrame, hubs: int = 3) -> DataFrame:
     signed = materialize(_signed(texts), "signed")
     by_print = materialize(_by_print(signed), "by-print")
     filed = signed.select("node", "n", F.explode("bands").alias("key"))
-    shared = materialize(filed.join(filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key"), "shared")
-    ends = by_print.select(F.col("a").alias("node")).unionByName(by_print.select(F.col("b").alias("node")))
+    groups = filed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", "h.hub", "h.hub_n")
+    shared = materialize(filed.join(groups, "key"), "shared")
+    ends = by_print.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = texts.join(shared.select("node").unionByName(ends).distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(_sets(wanted), "sets")
-    links = materialize(_verified(by_print, sets), "print-links")
 
-    left = materialize(_open(_rooted(shared, links)), "open")
-    groups = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node", "n", "root")).alias("h"))
-    met = left.join(groups, "key").where("root <> h.root").where(_near_size("n", "h.n")).groupBy(F.col("node").alias("a"), F.col("h.node").alias("b")).agg(F.count("*").alias("m"))
-    links = materialize(links.unionByName(_verified(_best(met, hubs), sets)), "first-links")
+    met = shared.where("node <> hub").where(_near_size("n", "hub_n")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("m"))
+    pairs = by_print.unionByName(_best(met, hubs)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = materialize(_verified(pairs, sets), "first-links")
 
+    left = shared
     for k in range(ROUNDS + 1):
         left = materialize(_open(_rooted(left, links)), "open")
         left = materialize(_open(_possible(left.join(_held(left, sets, k > 0), "node"))), "possible")
